@@ -43,10 +43,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and the table survives lost executors."""
+#: Rows of a table of links that one task takes, where their number is known.
+TASK_ROWS = 50_000
+
+
+def staged(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and the table survives lost executors.
+
+    rows: about how many there are, if known; tasks get TASK_ROWS each then, instead of many next to nothing.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,22 +95,23 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = staged(edges.where("a is not null and b is not null and a <> b")
                .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(rounds):
-        if e.isEmpty():
+        n = seen[0]
+        if not n:
             break
         # large star: larger neighbours of u point to the least of u and its neighbours
-        both = staged(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        both = staged(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both", 2 * n)
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * n)
         large = staged(both.join(low, "u").where("v > u and v <> m")
-                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n)
         # small star: smaller neighbours of u, and u itself, point to the least of them
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        count = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if count(new) == count(e):
+        e = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", n)
+        before, seen = seen, e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if before == seen:
             break
-        e = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

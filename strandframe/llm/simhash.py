@@ -83,7 +83,8 @@ def links(classes: DataFrame) -> DataFrame:
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("kid"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks())])).alias("k")
     keyed = table.select(keys, "*").select("k.*", "fp", "rep", *[f"p{i}" for i in range(PIVOTS)])
     full = staged(keyed.select("kid", "key").groupBy("kid", "key").count().where("count > 1"), "buckets")
-    near = staged(keyed.join(full, ["kid", "key"]), "members")
+    n = full.agg(F.sum("count")).first()[0] or 0
+    near = staged(keyed.join(full, ["kid", "key"]), "members", n)
     small = near.where(F.col("count") <= PAIR_LIMIT)
     a, b = small.alias("a"), small.alias("b")
     apart = F.greatest(*[F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) for i in range(PIVOTS)])
@@ -92,8 +93,8 @@ def links(classes: DataFrame) -> DataFrame:
     large = near.where(F.col("count") > PAIR_LIMIT).select("kid", "key", "fp", "rep")
     free = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x) for x in _set_bits(~m)]) for m in masks()])
     points = staged(large.select("kid", "key", "rep", F.explode(F.element_at(free, F.col("kid") + 1)).alias("bit"), "fp")
-                    .select("kid", F.col("fp").bitwiseXOR(F.col("bit")).alias("z"), "rep"), "midpoints")
-    least = staged(points.groupBy("kid", "z").agg(F.min("rep").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+                    .select("kid", F.col("fp").bitwiseXOR(F.col("bit")).alias("z"), "rep"), "midpoints", 28 * n)
+    least = staged(points.groupBy("kid", "z").agg(F.min("rep").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n"), "least", n)
     through = points.join(least, ["kid", "z"]).where("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b"))
     return pairs.union(through)
 
