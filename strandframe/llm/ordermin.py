@@ -17,8 +17,9 @@ PER_TUPLE = 2
 WORDS_PER_KMER = 2
 #: Low bits of a packed number that hold a k-mer's place in its text; texts have fewer k-mers than this allows.
 PLACE_BITS = 24
-#: Ranges of doc_id that are dealt out; a document's successor is in its range or is copied to it.
-RANGES = 512
+#: Ranges of doc_id that are dealt out (least and most), and documents in one; a document's successor is in its range
+#: or is copied to it.
+RANGES, MOST_RANGES, RANGE_ROWS = 512, 65_536, 20_000
 
 
 def _pack(h: Column, place: Column) -> Column:
@@ -86,7 +87,7 @@ def text_of(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """(range, at, doc_id, text, next_text): documents by ascending doc_id, with the next one's text; how many ranges.
 
     Rows without id come first; equal ids are in order of text; after the last comes the first. Texts are shuffled
@@ -97,8 +98,9 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
     least = -(1 << 63)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     picked = picked.withColumn("k", F.coalesce("doc_id", F.lit(least)))
+    ranges = min(MOST_RANGES, max(RANGES, docs.count() // RANGE_ROWS))
     marks = [i / ranges for i in range(1, ranges)]
-    found = picked.agg(F.min("k").alias("low"), F.percentile_approx("k", marks, 100 * ranges).alias("marks")).first()
+    found = picked.agg(F.min("k").alias("low"), F.percentile_approx("k", marks, 10 * ranges).alias("marks")).first()
     if found["low"] is None:
         return spark.createDataFrame([], "range int, at int, doc_id long, text string, next_text string"), 0
     firsts = sorted({found["low"], *found["marks"]})  # the first key of each range
