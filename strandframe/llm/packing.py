@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import word_ids
+from .tokens import word_encoder
 
 CAPACITY = 2048
 END = 0
@@ -72,11 +72,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def _pieces(capacity: int, path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        encoder = word_encoder(path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + END.to_bytes(4, "little")
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() or "" for t in batch.column(1)), strict=True):
+                ids += END.to_bytes(4, "little")
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at: at + 4 * capacity]
                     for column, x in zip(rows, (doc, i, at // 4, len(part) // 4, crc32(part), part if keep_ids else None), strict=True):

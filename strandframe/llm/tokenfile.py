@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, parallelism, staged
-from .tokens import byte_ids
+from .tokens import byte_encoder
 
 END = 2
 #: Bytes of ids in a frame, at least, unless the file ends; no frame has over twice as many.
@@ -129,7 +129,7 @@ def open_reader(uri: str) -> Reader:
 
 def _writing(folder: str, tokenizer: str, end: int, frame: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = byte_ids(tokenizer), end.to_bytes(4, "little")
+        encoder, tail = byte_encoder(tokenizer), end.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         fs, path = open_store(folder)
         name, own = f"{path}/ids-{part:06d}.zst", f"{path}/_writing-{uuid.uuid4().hex}"
@@ -137,8 +137,8 @@ def _writing(folder: str, tokenizer: str, end: int, frame: int):
         out = io.BufferedWriter(fs.open_output_stream(own), 1 << 20)
         writer, docs, total = Writer(out, frame), 0, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + tail
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() or "" for t in batch.column(1)), strict=True):
+                ids += tail
                 writer.add(-(1 << 63) if doc is None else doc, ids)
                 docs, total = docs + 1, total + len(ids) // 4
         writer.close()

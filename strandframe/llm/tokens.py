@@ -1,19 +1,20 @@
 """Token ids as little-endian unsigned 32-bit bytes, by public tokenizers, with a bounded cache per worker.
 
-Both encoders cut a text only where the tokenizer surely begins a new word, so the ids of the cuts in turn are the
-ids of the text; each distinct cut is encoded once while it is in the cache.
+Texts are cut only where the tokenizer surely begins a new word, so the ids of the cuts in turn are the ids of the
+text. Each distinct cut is encoded once while it is in the cache; new ones are encoded together, in lines of many cuts
+with a separator between them whose one id no cut can have.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Cuts kept per worker; the cache is emptied when it is full. Longer cuts than LONGEST characters are not kept.
-CACHE, LONGEST = 300_000, 64
+#: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
+CACHE, LINE, TOGETHER = 450_000, 50, 1_000_000
 
 
 def public_path(name: str) -> str:
@@ -22,72 +23,97 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Cache(dict):
-    def __init__(self, path: str, prefix: str = ""):
+class Encoder:
+    """cut: a text's cuts. plain: whether a cut may be encoded between separators."""
+
+    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool]):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode(self, cut: str) -> bytes:
-        return np.array(self.tokenizer.encode(cut, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, cut: str) -> bytes:
-        ids = self.encode(cut)
-        if len(cut) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[cut] = ids
-        return ids
-
-    def fill(self, cuts: set[str]) -> None:
-        """Encode all new cuts in one call."""
-        new = [c for c in cuts if c not in self and len(c) <= LONGEST]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = [c for c in cuts if len(c) <= LONGEST][:CACHE]
-        for cut, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[cut] = np.array(e.ids, dtype="<u4").tobytes()
-
-
-_caches: dict[str, _Cache] = {}
+        self.separator, self.cut, self.plain = separator, cut, plain
+        (self.between,) = self.ids(separator)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, cuts: set[str]) -> None:
+        """Have all of ``cuts`` in the cache, and forget what was not used for a generation."""
+        missing = cuts - self.new.keys()
+        if len(self.new) + len(missing) > CACHE:
+            self.old, self.new, missing = self.new, {}, cuts
+        if known := missing & self.old.keys():
+            self.new |= {c: self.old[c] for c in known}
+            missing -= known
+        plain = [c for c in missing if self.plain(c)]
+        for at in range(0, len(plain), LINE):
+            part = plain[at: at + LINE]
+            ids = np.array(self.ids(self.separator.join(part)), dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.between), len(ids))
+            if len(ends) != len(part):
+                raise ValueError("a separator's id is in a cut")
+            data = ids.tobytes()
+            begins = [0, *(4 * (ends[:-1] + 1)).tolist()]
+            self.new |= {c: data[a:b] for c, a, b in zip(part, begins, (4 * ends).tolist(), strict=True)}
+        if len(plain) < len(missing):
+            self.new |= {c: np.array(self.ids(c), dtype="<u4").tobytes() for c in missing if c not in self.new}
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, as bytes."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.cut(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, held: list[list[str]]) -> Iterator[bytes]:
+        self.learn(set().union(*held))
+        get = self.new.__getitem__
+        for cuts in held:
+            yield b"".join(map(get, cuts))
+
+
+#: A comma or full stop after a letter and before a blank or the end is a word of its own to both tokenizers.
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+_MARKED = re.compile(r" ?\S+")
+_CUT = re.compile(r"(?<=\S)(?= )")
+_BLANKS = re.compile(r"\s ")
 
 
-def _cache(path: str) -> _Cache:
-    if path not in _caches:
-        _caches[path] = _Cache(path)
-    return _caches[path]
+def _word_cuts(text: str) -> list[str]:
+    if "Σ" not in text:  # else lower case depends on the place in a word
+        text = text.lower()
+    return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
 
 
-def word_ids(path: str) -> Callable[[str], bytes]:
-    """For a tokenizer that drops white space and whose words never cross it: cuts are between blanks and line ends."""
-    cache = _cache(path)
+def _byte_cuts(text: str) -> list[str]:
+    if "\x00" in text:
+        return _CUT.split(text)
+    marked = _STOP.sub("\x00\\1", text)
+    if text.startswith(" ") or _BLANKS.search(text):
+        return [y for x in _CUT.split(marked) for y in x.split("\x00")]
+    return marked.replace(" ", "\x00 ").split("\x00")
 
-    def encode(text: str) -> bytes:
-        cuts = text.replace("\n", " ").split(" ")
-        cache.fill(set(cuts))
-        return b"".join(map(cache.__getitem__, cuts))
 
-    return encode
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-_CUT = re.compile(r"(?<=\S)(?= )")
-_BLANKS = re.compile(r"\s ")
+def word_encoder(path: str) -> Encoder:
+    """For a tokenizer that lower-cases, drops white space and whose words never cross it."""
+    if ("word", path) not in _encoders:
+        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c)
+    return _encoders["word", path]
 
 
-def byte_ids(path: str) -> Callable[[str], bytes]:
+def byte_encoder(path: str) -> Encoder:
     """For a byte-level tokenizer whose words begin with at most one blank: cuts are before a blank that follows no blank."""
-    cache = _cache(path)
-
-    def encode(text: str) -> bytes:
-        if _BLANKS.search(text) or text.startswith(" "):
-            cuts = _CUT.split(text)
-        else:
-            head, *rest = text.split(" ")
-            cuts = [head, *(" " + x for x in rest)]
-        cache.fill(set(cuts))
-        return b"".join(map(cache.__getitem__, cuts))
-
-    return encode
+    if ("byte", path) not in _encoders:
+        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None)
+    return _encoders["byte", path]
