@@ -1,2 +1,450 @@
-QUERIES = {}
-SQL = {}
+"""Queries by name, each over its whole tables, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import chemistry, codec, headers
+from ..operators import etl, kmers, qc, quant
+from .reads import BASES, READS, TRANSCRIPTS, reads, transcripts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: A quality table for the custom codings.
+LUT = tuple((q, 1 + q // 2) for q in range(1, 94))
+#: Codes with room for the values of that table.
+GRAY = (1, 10, 80, 150, 200)
+
+
+def _code_sql(codes=codec.CODES, scale="least(q, 62)", least=0) -> str:
+    n, a, c, g, t = codes
+    base = f"case base when 'A' then {a} when 'C' then {c} when 'G' then {g} when 'T' then {t} else {n} end"
+    value = f"case when {base} = {n} then {n} + ({scale}) * 2 // 62 else {base} + {scale} end"
+    if least:
+        value = f"case when q < {least} then {n} else {value} end"
+    return f"case when ({value}) = 10 then 255 else {value} end"
+
+
+def _encode_sql(**how) -> str:
+    return f"with {BASES} select read_id, string_agg(lpad(cast({_code_sql(**how)} as varchar), 3, '0'), '' order by pos) as codes from bases group by read_id"
+
+
+def _encoded(spark: SparkSession, sf_dir: str, coding: codec.Coding) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", codec.encode(F.col("seq"), F.col("qual"), coding).alias("numbers"))
+
+
+@query(_encode_sql())
+def encode_default(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding()).select("read_id", codec.decimal(F.col("numbers")).alias("codes"))
+
+
+@query(_encode_sql(least=15))
+def encode_minqual(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding(min_quality=15)).select("read_id", codec.decimal(F.col("numbers")).alias("codes"))
+
+
+_LUT_SQL = "case when q between 1 and 93 then 1 + q // 2 else 0 end"
+
+
+@query(_encode_sql(scale=_LUT_SQL))
+def encode_custom_lut(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding(lut=LUT)).select("read_id", codec.decimal(F.col("numbers")).alias("codes"))
+
+
+@query(_encode_sql(codes=GRAY, scale=_LUT_SQL))
+def encode_gray_custom(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding(codes=GRAY, lut=LUT)).select("read_id", codec.decimal(F.col("numbers")).alias("codes"))
+
+
+@query(_encode_sql())
+def encode_arrow_kernel(spark, sf_dir):
+    made = codec.encode_frame(reads(spark, sf_dir).select("read_id", "seq", "qual"))
+    h = F.hex("codes")
+    byte = lambda i: F.lpad(F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10), 3, "0")
+    return made.select("read_id", F.array_join(F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), byte), "").alias("codes"))
+
+
+_DECODED = f"""with {BASES}, v as (select *, case when v0 = 255 then 10 else v0 end as v from (select *, {_code_sql()} as v0 from bases)),
+w as (select *, case when v >= 192 then 192 when v >= 129 then 129 when v >= 66 then 66 when v >= 3 then 3 else 0 end as low from v)
+"""
+
+
+@query(_DECODED + "select read_id, string_agg(case low when 192 then 'T' when 129 then 'G' when 66 then 'C' when 3 then 'A' else 'N' end, '' order by pos) as seq from w group by read_id")
+def decode_bases(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding()).select("read_id", codec.decode_seq(F.col("numbers")).alias("seq"))
+
+
+@query(_DECODED + "select read_id, string_agg(chr(33 + cast(least(v - low, 62) as integer)), '' order by pos) as qual from w group by read_id")
+def decode_quality(spark, sf_dir):
+    return _encoded(spark, sf_dir, codec.Coding()).select("read_id", codec.decode_qual(F.col("numbers")).alias("qual"))
+
+
+@query(f"with {READS} select cast(count(*) as bigint) as n_reads, cast(count(*) as bigint) as same_bases, cast(sum(case when length(replace(seq, 'N', '')) = length(seq) then 1 else 0 end) as bigint) as without_n from reads")
+def decode_roundtrip(spark, sf_dir):
+    r = reads(spark, sf_dir).withColumn("numbers", codec.encode(F.col("seq"), F.col("qual")))
+    same = codec.decode_seq(F.col("numbers")) == F.col("seq")
+    whole = same & (codec.decode_qual(F.col("numbers")) == F.col("qual")) & ~F.contains("seq", F.lit("N"))
+    return r.agg(F.count("*").alias("n_reads"), F.sum(same.cast("long")).alias("same_bases"), F.sum(whole.cast("long")).alias("without_n"))
+
+
+@query(f"with {BASES} select base, cast(count(*) as bigint) as n, cast(sum(case when q > 62 or (base = 'N' and q <> q * 2 // 62) then 1 else 0 end) as bigint) as lossy from bases group by base")
+def lossy_bases(spark, sf_dir):
+    h = qc.per_position(reads(spark, sf_dir))
+    lossy = (F.col("q") > 62) | ((F.col("base") == "N") & (F.col("q") != F.floor(F.col("q") * 2 / 62)))
+    return h.groupBy("base").agg(F.sum("n").alias("n"), F.sum(F.when(lossy, F.col("n")).otherwise(0)).alias("lossy"))
+
+
+@query("select cast(v as integer) as v, cast(coalesce(max(q), 0) as integer) as q from generate_series(0, 63) g(v) left join (select i as q, 1 + i // 2 as s from generate_series(1, 93) h(i)) on s = v group by v")
+def inverse_lut(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(codec.inverse_lut(LUT))), "v int, q int")
+
+
+@query()
+def inverse_lut_interp(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(codec.interpolated_lut([(1, 2), (10, 8), (40, 50)]))), "v int, q int")
+
+
+#: Headers of each vendor, built from read numbers: Spark expressions are SQL text that both engines take.
+_HEADERS = {
+    "illumina": "concat('M01368:85:FC', read_id % 2, ':1:', 1101 + read_id % 8, ':', read_id % 977, ':', read_id, ' 1:N:0:', read_id % 12)",
+    "old_illumina": "concat('HWUSI-EAS100R:6:', read_id % 9, ':', read_id % 977, ':', read_id, '#', read_id % 3, '/', 1 + read_id % 2)",
+    "pacbio_hifi": "concat('m64011_190830_220126/', read_id, '/ccs')",
+    "pacbio_subread": "concat('m64011_190830_220126/', read_id, '/', read_id % 5000, '_', read_id % 5000 + 700)",
+    "pacbio_clr": "concat('m64011_220505_053001/', read_id, '/0_', read_id % 5000, ' RQ=0.8', read_id % 10)",
+    "ont": "concat('id-', read_id, ' runid=abc read=', read_id % 100, ' ch=', read_id % 512)",
+    "sra": "concat('SRR9876543.', read_id, ' spot', read_id % 9, ' length=', read_id % 60)",
+    "illumina_sra": "concat('SRR9876543.', read_id, '/', 1 + read_id % 2, ' M01368:85:FC1:1:', read_id % 8, ':', read_id % 977, ':', read_id, ' length=', read_id % 60)",
+    "pacbio_hifi_sra": "concat('SRR8765432.', read_id, ' m64011_190830_220126/', read_id, '/ccs rq=0.9', read_id % 10)",
+    "pacbio_clr_sra": "concat('SRR8765432.', read_id, ' m64011_220505_053001/', read_id, '/0_', read_id % 5000, ' length=', read_id % 5000)",
+    "ont_sra": "concat('SRR9999999.', read_id, ' id-', read_id, ' runid=abc length=', read_id % 60)",
+}
+
+
+#: The varying parts of headers with more groups than the other engine's regexp_extract takes.
+_PARTS = {
+    "illumina": "concat(1101 + read_id % 8, '|', read_id % 977, '|', read_id, '|1|N|0|', read_id % 12)",
+    "illumina_sra": "concat(read_id, '/', 1 + read_id % 2, '|', read_id % 8, '|', read_id % 977, '|', read_id, '| length=', read_id % 60)",
+}
+
+
+def _header_query(vendor: str) -> None:
+    v = headers.VENDORS[vendor]
+    parts = _PARTS.get(vendor) or " || '|' || ".join(f"regexp_extract(h, '{v.pattern}', {i})" for i in v.varying)
+    sql = f"select read_id, {parts} as parts, h as rebuilt, true as exact from (select *, {_HEADERS[vendor]} as h from (select event_id as read_id from events))"
+
+    def run(spark, sf_dir):
+        r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("read_id")).withColumn("header", F.concat(F.lit("@"), F.expr(_HEADERS[vendor])))
+        made = headers.compressed(r, vendor)
+        return made.select("read_id", F.array_join("parts", "|").alias("parts"), headers.rebuild(F.col("structure"), F.col("parts")).alias("rebuilt"), "exact")
+
+    QUERIES[f"hdr_{vendor}"], SQL[f"hdr_{vendor}"] = run, sql
+
+
+for _vendor in _HEADERS:
+    _header_query(_vendor)
+
+
+@query(f"with {READS} select cast(pos as integer) as pos, cast(count(distinct f) as bigint) as n_values, min(f) as sample, cast(count(*) as bigint) as n from (select unnest(string_split(header, ':')) as f, generate_subscripts(string_split(header, ':'), 1) - 1 as pos from reads) group by pos")
+def hdr_adaptive_pattern(spark, sf_dir):
+    return headers.field_stats(reads(spark, sf_dir), ":")
+
+
+@query(f"with {READS} select ':' as delimiter, cast(sum(length(header) - length(replace(header, ':', ''))) as bigint) as n from reads")
+def hdr_adaptive_delimiter(spark, sf_dir):
+    return headers.vote_delimiter(reads(spark, sf_dir))
+
+
+@query(f"with {READS} select read_id, case when read_id % 5 = 0 then '@seq' || read_id else header end as header, seq from reads")
+def sidecar_join(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    side = r.where("read_id % 5 <> 0").select(F.col("read_id").alias("ordinal"), "header")
+    return r.drop("header").join(side, F.col("read_id") == F.col("ordinal"), "left").select("read_id", F.coalesce("header", F.concat(F.lit("@seq"), F.col("read_id").cast("string"))).alias("header"), "seq")
+
+
+@query(f"with {READS} select split_part(header, ':', 3) as flowcell, min(read_id) as first_id, max(read_id) as last_id, cast(count(*) as bigint) as n from reads group by 1")
+def flowcell_runs(spark, sf_dir):
+    return headers.flowcell_runs(reads(spark, sf_dir).withColumn("flowcell", F.split("header", ":")[2]))
+
+
+@query(f"""with {READS} select cast(count(*) as bigint) as total, cast(sum(length(seq)) as bigint) as bases, cast(min(length(seq)) as integer) as min_len, cast(max(length(seq)) as integer) as max_len,
+  (select cast(min(ascii(ch)) as integer) from (select unnest(string_split(qual, '')) as ch from reads)) as lowest,
+  cast(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) * 100 // sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))) as bigint) as gc from reads""")
+def qc_basic(spark, sf_dir):
+    return qc.basic(reads(spark, sf_dir))
+
+
+@query(f"""with {BASES}, h as (select pos, q, count(*) as n from bases group by all),
+w as (select pos, q, n, sum(n) over (partition by pos order by q) as cum, sum(n) over (partition by pos) as tot from h)
+select pos, cast(max(tot) as bigint) as total, cast(sum(q * n) as double) / sum(n) as mean, """ + ", ".join(f"cast(case when max(tot) > 100 then min(case when cum >= tot * {p} // 100 then q end) end as integer) as {n}" for p, n in ((10, "p10"), (25, "p25"), (50, "median"), (75, "p75"), (90, "p90"))) + " from w group by pos")
+def qc_per_base_quality(spark, sf_dir):
+    return qc.base_quality(reads(spark, sf_dir))
+
+
+@query(f"""with {BASES}, m as (select cast(split_part(header, ':', 5) as integer) as tile, pos, avg(cast(q as double)) as mean from bases where read_id < 10000 or read_id % 10 = 0 group by 1, 2)
+select tile, pos, round(mean - avg(mean) over (partition by pos), 6) as deviation from m""")
+def qc_per_tile(spark, sf_dir):
+    return qc.tile_quality(reads(spark, sf_dir))
+
+
+@query(f"with {BASES}, r as (select read_id, cast(sum(ascii(ch)) // count(*) - 33 as integer) as quality from bases group by 1) select quality, cast(count(*) as bigint) as n from r group by 1")
+def qc_per_seq_quality(spark, sf_dir):
+    return qc.sequence_quality(reads(spark, sf_dir))
+
+
+@query(f"with {BASES} select pos, " + ", ".join(f"round(sum(case when base = '{b.upper()}' then 1 else 0 end) * 100.0::double / sum(case when base in ('A', 'C', 'G', 'T') then 1 else 0 end), 6) as {b}" for b in "gatc") + " from bases group by pos")
+def qc_base_content(spark, sf_dir):
+    return qc.base_content(reads(spark, sf_dir))
+
+
+@query(f"""with {READS}, h as (select length(seq) as len, length(regexp_replace(seq, '[^GC]', '', 'g')) as gc, count(*) as n from reads group by all),
+c as (select len, unnest(generate_series(0, len)) as gc from (select distinct len from h)),
+p as (select len, gc, unnest(generate_series(cast(floor(greatest(gc - 0.5, 0) * 100 / len + 0.5) as integer), cast(floor(least(gc + 0.5, len) * 100 / len + 0.5) as integer))) as pct from c),
+m as (select *, 1.0::double / count(*) over (partition by len, pct) as weight from p)
+select cast(pct as integer) as pct, round(sum(n * weight), 6) as n from h join m using (len, gc) group by pct""")
+def qc_gc(spark, sf_dir):
+    return qc.gc_content(reads(spark, sf_dir))
+
+
+@query(f"with {BASES} select pos, round(sum(case when base not in ('A', 'C', 'G', 'T') then 1 else 0 end) * 100.0::double / count(*), 6) as n_percent from bases group by pos")
+def qc_n(spark, sf_dir):
+    return qc.n_content(reads(spark, sf_dir))
+
+
+@query(f"with {READS} select cast(length(seq) as integer) as len, cast(count(*) as bigint) as n from reads group by 1")
+def qc_length(spark, sf_dir):
+    return qc.lengths(reads(spark, sf_dir))
+
+
+@query(f"with {READS}, c as (select substr(seq, 1, 50) as key, count(*) as n from reads group by 1) select key, cast(n as bigint) as n, round(n * 100.0::double / (select count(*) from reads), 6) as percent from c where n * 100.0 / (select count(*) from reads) > 0.05")
+def qc_overrep(spark, sf_dir):
+    return qc.overrepresented(reads(spark, sf_dir), percent=0.05)
+
+
+@query(f"""with {READS}, c as (select count(*) as level from reads group by substr(seq, 1, 50)),
+s as (select level, case when level >= 10000 then '>10k+' when level >= 5000 then '>5k' when level >= 1000 then '>1k' when level >= 500 then '>500' when level >= 100 then '>100' when level >= 50 then '>50' when level >= 10 then '>10' else cast(level as varchar) end as slot from c)
+select slot, cast(count(*) as bigint) as n_sequences, cast(sum(level) as bigint) as n_reads from s group by slot""")
+def qc_dup(spark, sf_dir):
+    return qc.duplication(reads(spark, sf_dir))
+
+
+@query(f"with {READS}, a(adapter, s) as (values " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in qc.ADAPTERS.items()) + """), g as (select adapter, s, unnest(generate_series(1, (select max(length(seq)) - 11 from reads))) as pos from a),
+h as (select adapter, instr(seq, s) as first, count(*) as k from reads, a where instr(seq, s) > 0 group by all)
+select g.adapter, cast(pos as integer) as pos, cast(coalesce(sum(k), 0) as bigint) as n from g left join h on h.adapter = g.adapter and first <= pos group by all""")
+def qc_adapter(spark, sf_dir):
+    return qc.adapter_content(reads(spark, sf_dir))
+
+
+_KMERS = "unnest(generate_series(1, length(seq) - {k} + 1)) as pos"
+
+
+@query(f"""with {READS}, r as (select substr(seq, pos, 7) as kmer, pos from (select seq, {_KMERS.format(k=7)} from reads where read_id % 50 = 0)),
+c as (select kmer, pos, count(*) as n from r where not contains(kmer, 'N') group by all),
+d as (select *, sum(n) over (partition by kmer) as ok, sum(n) over (partition by pos) as op, sum(n) over () as al from c),
+e as (select kmer, ok, pos, round(cast(n * al as double) / (ok * op), 6) as x from d),
+f as (select *, row_number() over (partition by kmer order by x desc, pos) as r from e)
+select kmer, cast(ok as bigint) as n, x as obs_exp, cast(pos as integer) as at from f where r = 1 order by ok desc, x desc, kmer limit 20""")
+def qc_kmer(spark, sf_dir):
+    return qc.kmer_content(reads(spark, sf_dir))
+
+
+@query()
+def qc_verdicts(spark, sf_dir):
+    return qc.verdicts(reads(spark, sf_dir))
+
+
+@query(f"with {READS} select read_id % 8 as tile, case when min(ascii(ch)) < 33 then 'No known encodings' when min(ascii(ch)) < 64 then 'Sanger / Illumina 1.9' when min(ascii(ch)) = 65 then 'Illumina 1.3' when min(ascii(ch)) <= 126 then 'Illumina 1.5' else 'No known encodings' end as encoding from (select read_id, unnest(string_split(qual, '')) as ch from reads) group by 1")
+def phred_detect(spark, sf_dir):
+    low = F.array_min(F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.ascii(c)))
+    return reads(spark, sf_dir).groupBy((F.col("read_id") % 8).alias("tile")).agg(F.min(low).alias("lowest")).select("tile", codec.detect_phred(F.col("lowest")).alias("encoding"))
+
+
+@query(f"with {READS} select read_id, translate(reverse(seq), 'ACGT', 'TGCA') as seq from reads")
+def revcomp(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", codec.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@query(f"with {READS} select read_id, cast(hamming(substr(seq, 1, 8), substr(seq, 9, 8)) as integer) as distance from reads")
+def hamming(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", codec.hamming(F.substring("seq", 1, 8), F.substring("seq", 9, 8)).alias("distance"))
+
+
+@query(f"with {READS}, r as (select substr(seq, pos, 7) as kmer from (select seq, {_KMERS.format(k=7)} from reads)) select kmer, cast(count(*) as bigint) as n from r where not contains(kmer, 'N') group by kmer")
+def kmer_count(spark, sf_dir):
+    return kmers.kmer_counts(reads(spark, sf_dir), 7)
+
+
+_MINIMIZERS = """{name}_k as (select {key}, pos - 1 as pos, cast('0x' || substr(md5(kmer), 1, 8) as bigint) as hash from (select {key}, pos, substr(seq, pos, 7) as kmer from (select {key}, seq, unnest(generate_series(1, length(seq) - 6)) as pos from {table})) where not contains(kmer, 'N')),
+{name}_l as (select *, min(hash) over (partition by {key} order by pos range between 4 preceding and current row) as least from {name}_k),
+{name} as (select {key}, pos, hash from (select *, max(least) over (partition by {key} order by pos range between current row and 4 following) as kept from {name}_l) where hash <= kept)"""
+_QM = _MINIMIZERS.format(name="qm", key="read_id", table="reads")
+_TM = _MINIMIZERS.format(name="tm", key="tx_id", table="transcripts")
+
+
+@query(f"with {READS}, {_QM} select read_id, cast(pos as integer) as pos, hash from qm")
+def minimizers(spark, sf_dir):
+    return kmers.minimizers(reads(spark, sf_dir), 7, 5)
+
+
+def _seeds(spark, sf_dir):
+    return kmers.seeds(kmers.minimizers(reads(spark, sf_dir), 7, 5), kmers.minimizers(transcripts(spark, sf_dir), 7, 5, "tx_id"), 50)
+
+
+@query(f"with {READS}, {TRANSCRIPTS}, {_QM}, {_TM}, rare as (select hash from tm group by hash having count(*) <= 50) select read_id, cast(qm.pos as integer) as q_pos, tx_id, cast(tm.pos as integer) as t_pos, hash from qm join tm using (hash) where hash in (select hash from rare)")
+def seed_join(spark, sf_dir):
+    return _seeds(spark, sf_dir)
+
+
+@query()
+def seed_chains(spark, sf_dir):
+    return kmers.chains(_seeds(spark, sf_dir), 7)
+
+
+@query()
+def hash64_mix(spark, sf_dir):
+    return kmers.kmer_counts(reads(spark, sf_dir), 7).select("kmer", kmers.hash64(kmers.packed(F.col("kmer")), 14).alias("hash"))
+
+
+_EC = f"""{READS}, {TRANSCRIPTS},
+ix as (select distinct tx_id, kmer from (select tx_id, substr(seq, pos, 11) as kmer from (select tx_id, seq, unnest(generate_series(1, length(seq) - 10)) as pos from transcripts))),
+rk as (select distinct read_id, kmer from (select read_id, substr(seq, pos, 11) as kmer from (select read_id, seq, unnest(generate_series(1, length(seq) - 10)) as pos from reads)) where kmer in (select kmer from ix)),
+hits as (select read_id, tx_id, count(*) as k from rk join ix using (kmer) group by all),
+ecs as (select read_id, coalesce(string_agg(cast(tx_id as varchar), ',' order by tx_id) filter (where k = n), '') as ec from hits join (select read_id, count(*) as n from rk group by all) using (read_id) group by read_id)"""
+
+
+def _ecs(spark, sf_dir):
+    index = quant.kmer_index(transcripts(spark, sf_dir), 11)
+    return quant.pseudoalign(reads(spark, sf_dir), index, 11)
+
+
+@query(f"with {_EC} select read_id, ec from ecs")
+def ec_intersect(spark, sf_dir):
+    return _ecs(spark, sf_dir).select("read_id", F.array_join("ec", ",").alias("ec"))
+
+
+@query(f"with {_EC} select ec, cast(count(*) as bigint) as n from ecs where ec <> '' group by ec")
+def ec_count(spark, sf_dir):
+    return quant.ec_counts(_ecs(spark, sf_dir)).select(F.array_join("ec", ",").alias("ec"), "n")
+
+
+@query("select p_partkey as tx_id, cast(case when p_size - 3.0 + 1 < 1 then p_size else p_size - 3.0 + 1 end as double) as eff_length from part")
+def eff_len(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("tx_id"), quant.effective_length(F.col("p_size"), 3.0).alias("eff_length"))
+
+
+#: Classes of three of eleven transcripts, counted over events.
+_CLASSES = "c as (select event_id % 11 as a, event_id * 3 % 11 as b, event_id * 7 % 11 as d from events), n as (select a, b, d, count(*) as n from c group by all), e as (select distinct a * 121 + b * 11 + d as ec_id, n, unnest([a, b, d]) as tx from n)"
+
+
+def _classes(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(*[(F.col("event_id") * m % 11).alias(c) for c, m in (("a", 1), ("b", 3), ("d", 7))])
+    n = e.groupBy("a", "b", "d").agg(F.count("*").alias("n"))
+    return n.select((F.col("a") * 121 + F.col("b") * 11 + F.col("d")).alias("ec_id"), "n", F.explode(F.array("a", "b", "d")).alias("tx")).distinct()
+
+
+def _step_sql(i: int) -> str:
+    return f"j{i} as (select e.tx, n, alpha / (200 + 17 * e.tx) as part, sum(alpha / (200 + 17 * e.tx)) over (partition by ec_id) as whole from e join s{i - 1} using (tx)), s{i} as (select tx, sum(n * part / whole) as alpha from j{i} group by tx)"
+
+
+@query(f"with {_CLASSES}, s0 as (select distinct tx, 1.0::double / 11 as alpha from e), {_step_sql(1)}, {_step_sql(2)}, {_step_sql(3)} select tx, round(alpha, 6) as alpha from s3")
+def em_step(spark, sf_dir):
+    counts = _classes(spark, sf_dir).withColumn("weight", 1.0 / (200 + 17 * F.col("tx")))
+    alpha = counts.select("tx").distinct().withColumn("alpha", F.lit(1.0 / 11))
+    for _ in range(3):
+        alpha = quant.em_step(counts, alpha)
+    return alpha.select("tx", F.round("alpha", 6).alias("alpha"))
+
+
+def _eff(spark):
+    return spark.range(11).select(F.col("id").cast("int").alias("tx"), (200.0 + 17 * F.col("id")).alias("eff_length"))
+
+
+def _sets(spark, sf_dir):
+    return _classes(spark, sf_dir).groupBy("ec_id", "n").agg(F.array_sort(F.collect_set(F.col("tx").cast("int"))).alias("ec")).select("ec", "n")
+
+
+@query()
+def em_converged(spark, sf_dir):
+    return quant.em(spark, _sets(spark, sf_dir), _eff(spark)).select("tx", F.round("alpha", 3).alias("alpha"))
+
+
+@query()
+def em_bootstrap(spark, sf_dir):
+    return quant.bootstrap(spark, _sets(spark, sf_dir), _eff(spark), 8).select("sample", "tx", F.round("alpha", 6).alias("alpha"))
+
+
+_ABUNDANCE = "a as (select p_partkey as tx_id, p_brand as gene, cast(p_size as double) as est_counts, cast(200 + p_partkey % 300 as double) as eff_length from part), t as (select *, round(est_counts / eff_length / (select sum(est_counts / eff_length) from a) * 1e6, 6) as tpm from a)"
+
+
+def _abundance(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return quant.tpm(p.select(F.col("p_partkey").alias("tx_id"), F.col("p_brand").alias("gene"), F.col("p_size").cast("double").alias("est_counts"), (200 + F.col("p_partkey") % 300).cast("double").alias("eff_length")))
+
+
+@query(f"with {_ABUNDANCE} select tx_id, est_counts, round(tpm, 3) as tpm from t")
+def tpm(spark, sf_dir):
+    return _abundance(spark, sf_dir).select("tx_id", "est_counts", F.round("tpm", 3).alias("tpm"))
+
+
+@query(f"with {_ABUNDANCE} select gene, round(sum(est_counts), 6) as est_counts, round(sum(tpm), 2) as tpm from t group by gene")
+def gene_sum(spark, sf_dir):
+    a = _abundance(spark, sf_dir)
+    return quant.gene_sums(a.drop("gene"), a.select("tx_id", "gene")).withColumn("tpm", F.round("tpm", 2))
+
+
+@query(f"with {READS}, b as (select substr(seq, 1, 6) as barcode, substr(seq, 7, 10) as umi, substr(qual, 1) as q from reads) select barcode, cast(count(*) as bigint) as n, cast(count(distinct umi) as bigint) as n_umi from b group by barcode")
+def barcode_umi(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    barcode, umi, _ = chemistry.extract("SCRBSEQ", [F.col("seq"), F.col("seq")])
+    return r.select(barcode.alias("barcode"), umi.alias("umi")).groupBy("barcode").agg(F.count("*").alias("n"), F.count_distinct("umi").alias("n_umi"))
+
+
+@query("""with s as (select s_name || '.fastr' as f, s_suppkey * 10 as b from supplier where s_suppkey % 3 <> 0), p as (select s_name || '.log' as f, s_acctbal as c, s_suppkey + 1 as m from supplier where s_suppkey % 4 <> 0)
+select coalesce(a.k, d.k) as Method_Process, b as File_Size_Bytes, c as CPU_Time_Sec, m as Peak_Memory_KB from (select regexp_replace(f, '\\.[A-Za-z0-9]+$', '') as k, b from s) a full join (select regexp_replace(f, '\\.[A-Za-z0-9]+$', '') as k, c, m from p) d on a.k = d.k""")
+def result_merge_outer(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    sizes = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(".fastr")).alias("Filename"), (F.col("s_suppkey") * 10).alias("SizeBytes"))
+    perf = s.where("s_suppkey % 4 <> 0").select(F.concat("s_name", F.lit(".log")).alias("Filename"), F.col("s_acctbal").alias("Total_CPU_Sec"), (F.col("s_suppkey") + 1).alias("Peak_Mem_KB"))
+    return etl.merge_results(sizes, perf)
+
+
+@query(f"with {READS} select 'sample' || read_id % 3 || '.fastq' as file_group, cast(count(*) as bigint) as n, cast(sum(length(seq)) as bigint) as bases from reads group by 1")
+def file_group_union(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    name = lambda lane: F.concat(F.lit("sample"), (F.col("read_id") % 3).cast("string"), F.lit(f"_00{lane}.fastq"))
+    lanes = r.where("read_id % 2 = 0").withColumn("file", name(1)).unionByName(r.where("read_id % 2 = 1").withColumn("file", name(2)))
+    return lanes.groupBy(etl.file_group(F.col("file")).alias("file_group")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query(f"with {READS} select cast(split_part(header, ':', 5) as integer) as tile, cast(count(*) as bigint) as n from reads where read_id < 10000 or read_id % 10 = 0 group by 1")
+def tile_sampling(spark, sf_dir):
+    r = reads(spark, sf_dir).where("read_id < 10000 or read_id % 10 = 0")
+    return r.groupBy(qc.tile_of(F.col("header")).alias("tile")).agg(F.count("*").alias("n"))
+
+
+@query()
+def contaminant_match(spark, sf_dir):
+    top = qc.sequence_counts(reads(spark, sf_dir)).where("n > 3").select("key")
+    known = transcripts(spark, sf_dir).where("tx_id % 50 = 1").select(F.concat(F.lit("tx"), F.col("tx_id").cast("string")).alias("name"), F.col("seq").alias("sequence"))
+    return etl.contaminants(top, known)
+
+
+@query("select c_custkey as id, case when n >= 1000000000 then f(n, 1000000000) || ' Gbp' when n >= 1000000 then f(n, 1000000) || ' Mbp' when n >= 1000 then f(n, 1000) || ' kbp' else n || ' bp' end as formatted from (select c_custkey, c_custkey * c_custkey * 37 as n from customer)".replace("f(n, ", "g(").replace("g(1000000000)", "(case when n * 10 // 1000000000 % 10 = 0 then cast(n // 1000000000 as varchar) else n // 1000000000 || '.' || n * 10 // 1000000000 % 10 end)").replace("g(1000000)", "(case when n * 10 // 1000000 % 10 = 0 then cast(n // 1000000 as varchar) else n // 1000000 || '.' || n * 10 // 1000000 % 10 end)").replace("g(1000)", "(case when n * 10 // 1000 % 10 = 0 then cast(n // 1000 as varchar) else n // 1000 || '.' || n * 10 // 1000 % 10 end)"))
+def format_lengths(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * F.col("c_custkey") * 37).alias("n"))
+    return c.select("id", qc.format_length(F.col("n")).alias("formatted"))
