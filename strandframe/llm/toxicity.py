@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,21 +40,31 @@ def stems_of(words: set[str]) -> set[str]:
     return {w[:n] + "-" for w in words for n in STEMS if len(w) > n}
 
 
-def _mine(sets: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """What occurs far oftener with label 1 than with 0: by a z-score of the log odds, at 5 times the odds or more."""
-    one, zero = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        (one if label else zero).update(s)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    found = []
-    for k, a in one.items():
-        if a >= SUPPORT:
-            b = zero[k]
-            odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if odds >= np.log(5) and z > 1.5:
-                found.append((-z, k))
-    return [k for _, k in sorted(found)[:most]]
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each word and stem, by label, of a partition."""
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text.as_py() or "")
+            counts[y].update(words)
+            counts[y].update(stems_of(words))
+    keys = list(counts[0].keys() | counts[1].keys())
+    for at in range(0, len(keys), 20_000):
+        part = keys[at: at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([counts[y][k] for k in part], pa.int64()) for y in (1, 0)]], ["key", "ones", "zeros"])
+
+
+def mine(sampled: DataFrame, ones: int, zeros: int, most: int = VOTERS) -> tuple[list[str], list[str]]:
+    """Words and stems that occur far oftener with label 1 than with 0: at 5 times the odds or more, by a z-score."""
+    found = sampled.select(F.col("text"), F.col("y")).mapInArrow(_counting, "key string, ones long, zeros long")
+    found = found.groupBy("key").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b")).where(F.col("a") >= SUPPORT)
+    odds = F.log((F.col("a") + 0.5) / (F.lit(max(1, ones)) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(max(1, zeros)) - F.col("b") + 0.5))
+    z = F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    found = found.withColumn("odds", odds).withColumn("z", z).where((F.col("odds") >= float(np.log(5))) & (F.col("z") > 1.5))
+    stem = F.col("key").endswith("-")
+    kinds = [found.where(~stem if k == 0 else stem).orderBy(F.round("z", 9).desc(), "key").limit(most).select("key") for k in (0, 1)]
+    words, stems = ([r["key"] for r in k.collect()] for k in kinds)  # ``most`` rows each
+    return words, stems
 
 
 @dataclass
@@ -86,14 +96,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.calibration[0] * logit + self.calibration[1], -35, 35))))
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Voters and models from texts with labels; see ``score`` for what is done without labels of both kinds."""
-    words = [words_of(t) for t in texts]
-    y = labels.astype(float)
-    lexicon = {k: i for i, k in enumerate(_mine(words, y, VOTERS))}
-    stems = {k: len(lexicon) + i for i, k in enumerate(_mine([stems_of(w) for w in words], y, VOTERS))}
-    model = Model(lexicon, stems, Linear(), (1.0, 0.0), np.zeros(0), np.zeros((0, 0)))
-    x = np.array([model.features(w) for w in words])
+def train(words: list[str], stems: list[str], featured: Callable[[Model], tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model whose voters are ``words`` and ``stems``; featured: gives the features of the labelled documents."""
+    lexicon = {k: i for i, k in enumerate(words)}
+    model = Model(lexicon, {k: len(lexicon) + i for i, k in enumerate(stems)}, Linear(), (1.0, 0.0), np.zeros(0), np.zeros((0, 0)))
+    x, y = featured(model)
     prior = float(np.clip(y.mean(), 0.01, 0.5))
     # every voter says 1 where it fires and else abstains; one more, and its silence, says 0 where none fires
     votes = np.hstack([x[:, :-3], np.where(x[:, -1:] > 0, 0.0, -1.0)])
@@ -120,14 +127,30 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, usable: Co
     return picked.join(F.broadcast(ids), "doc_id")  # at most ``most`` rows
 
 
+def _featuring(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [model.features(words_of(t.as_py() or "")).astype(np.float32).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *batch.columns[1:]], ["x", *batch.schema.names[1:]])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
-    """The model and the share of label 1; None if the usable labels are not of both kinds."""
-    rows = sample(docs.select("doc_id", "text"), labels, "toxic", SAMPLE, ~held_out(F.col("doc_id"))).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "y").toPandas()
-    rows = rows.sort_values(["h", "doc_id", "text"], kind="stable")
-    y = rows["y"].to_numpy(dtype=float)
-    if not len(y) or y.min() == y.max():
-        return None, float(y.mean()) if len(y) else 0.0
-    return train([t or "" for t in rows["text"]], y), float(y.mean())
+    """The model and the share of label 1; None if the usable labels are not of both kinds.
+
+    Voters are counted and features made by executors; the driver gets the voters and a vector per sampled document.
+    """
+    picked = sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic", SAMPLE, ~held_out(F.col("doc_id"))).select("text", "y", "doc_id")
+    n = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}  # two rows at most
+    if len(n) < 2:
+        return None, float(n.get(1, 0) > 0)
+
+    def featured(model: Model) -> tuple[np.ndarray, np.ndarray]:
+        rows = picked.mapInArrow(_featuring(model), "x binary, y int, doc_id long").toPandas().sort_values(["doc_id", "x"], kind="stable")
+        return np.array([np.frombuffer(x, np.float32) for x in rows["x"]], dtype=float).reshape(len(rows), -1), rows["y"].to_numpy(dtype=float)
+
+    return train(*mine(picked, n[1], n[0]), featured), n[1] / (n[0] + n[1])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
