@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
-CACHE, LINE, TOGETHER = 450_000, 50, 1_000_000
+CACHE, LINE, TOGETHER = 800_000, 50, 1_000_000
 
 
 def public_path(name: str) -> str:
@@ -24,10 +25,11 @@ def public_path(name: str) -> str:
 
 
 class Encoder:
-    """cut: a text's cuts. plain: whether a cut may be encoded between separators."""
+    """cut: a text's cuts. plain: whether a cut may be encoded between separators. simple: for cuts that ``one`` says
+    are one word in normal form, the same tokenizer without the steps that do nothing to them."""
 
-    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool]):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], simple: bool):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,10 +38,22 @@ class Encoder:
         (self.between,) = self.ids(separator)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.simple = None
+        if simple:
+            self.simple = Tokenizer.from_file(path)
+            self.simple.normalizer = None
+            self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def line(self, cuts: list[str]) -> list[int]:
+        """The ids of cuts with separators between them."""
+        text = self.separator.join(cuts)
+        if self.simple and all(map(str.isalpha, cuts)) and text.islower() and is_normalized("NFC", text):
+            return self.simple.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return self.ids(text)
+
     def learn(self, cuts: set[str]) -> None:
         """Have all of ``cuts`` in the cache, and forget what was not used for a generation."""
         missing = cuts - self.new.keys()
@@ -48,10 +62,10 @@ class Encoder:
         if known := missing & self.old.keys():
             self.new |= {c: self.old[c] for c in known}
             missing -= known
-        plain = [c for c in missing if self.plain(c)]
+        plain = sorted((c for c in missing if self.plain(c)), key=str.isalpha)
         for at in range(0, len(plain), LINE):
             part = plain[at: at + LINE]
-            ids = np.array(self.ids(self.separator.join(part)), dtype="<u4")
+            ids = np.array(self.line(part), dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.between), len(ids))
             if len(ends) != len(part):
                 raise ValueError("a separator's id is in a cut")
@@ -108,12 +122,12 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def word_encoder(path: str) -> Encoder:
     """For a tokenizer that lower-cases, drops white space and whose words never cross it."""
     if ("word", path) not in _encoders:
-        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c)
+        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, True)
     return _encoders["word", path]
 
 
 def byte_encoder(path: str) -> Encoder:
     """For a byte-level tokenizer whose words begin with at most one blank: cuts are before a blank that follows no blank."""
     if ("byte", path) not in _encoders:
-        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None)
+        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, False)
     return _encoders["byte", path]
