@@ -102,8 +102,12 @@ def train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray
     return Model(models, [platt(m.logit(labelled[v][held]), y[held]) for v, m in enumerate(models)], float(np.log(share / (1 - share))))
 
 
+def _stack(rows: list[np.ndarray]) -> np.ndarray:
+    return np.stack(rows) if rows else np.zeros((0, 1))
+
+
 def _views(texts: list[str], sizes: list[int | None], tongues: list[str | None]) -> list[np.ndarray]:
-    return [np.array([content(t) for t in texts]).reshape(len(texts), -1), np.array([metadata(*x) for x in zip(texts, sizes, tongues, strict=True)]).reshape(len(texts), -1)]
+    return [_stack([content(t) for t in texts]), _stack([metadata(*x) for x in zip(texts, sizes, tongues, strict=True)])]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +118,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _collected(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     rows = df.select("doc_id", "text", "n_chars", "lang", "y").mapInArrow(_extract, "doc_id long, a binary, b binary, y int").toPandas().sort_values(["doc_id", "a"], kind="stable")
-    return [np.array([np.frombuffer(x) for x in rows[c]]).reshape(len(rows), -1) for c in ("a", "b")], rows["y"].to_numpy(dtype=float)
+    return [_stack([np.frombuffer(x) for x in rows[c]]) for c in ("a", "b")], rows["y"].to_numpy(dtype=float)
 
 
 def _whole(docs: DataFrame) -> DataFrame:
