@@ -440,7 +440,7 @@ def tile_sampling(spark, sf_dir):
 @query()
 def contaminant_match(spark, sf_dir):
     top = qc.sequence_counts(reads(spark, sf_dir)).where("n > 3").select("key")
-    known = transcripts(spark, sf_dir).where("tx_id % 50 = 1").select(F.concat(F.lit("tx"), F.col("tx_id").cast("string")).alias("name"), F.col("seq").alias("sequence"))
+    known = transcripts(spark, sf_dir).where("tx_id % 400 = 1").select(F.concat(F.lit("tx"), F.col("tx_id").cast("string")).alias("name"), F.col("seq").alias("sequence"))
     return etl.contaminants(top, known)
 
 
