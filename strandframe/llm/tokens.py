@@ -86,6 +86,7 @@ class Encoder:
                 yield from self._encode(held)
                 held, size = [], 0
         yield from self._encode(held)
+        self.old = {}  # a resting worker holds one generation at most
 
     def _encode(self, held: list[list[str]]) -> Iterator[bytes]:
         self.learn(set().union(*held))
