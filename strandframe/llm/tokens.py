@@ -15,7 +15,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
-CACHE, LINE, TOGETHER = 800_000, 50, 1_000_000
+CACHE, LINE, TOGETHER = 700_000, 50, 1_000_000
 
 
 def public_path(name: str) -> str:
