@@ -57,7 +57,16 @@ def staged(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataF
     if rows is not None:
         df = df.coalesce(1 + rows // TASK_ROWS)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: what was made of them has itself been written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -102,13 +111,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
         # large star: larger neighbours of u point to the least of u and its neighbours
         both = staged(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both", 2 * n)
-        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * n)
-        large = staged(both.join(low, "u").where("v > u and v <> m")
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * n)
+        large = staged(both.join(least, "u").where("v > u and v <> m")
                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n)
         # small star: smaller neighbours of u, and u itself, point to the least of them
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = e
         e = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", n)
+        discard(last, both, least, large, low)
         before, seen = seen, e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == seen:
             break

@@ -297,14 +297,38 @@ def test_lines(docs, none, spark):
     assert set(linedup.deduplicate(docs).columns) == {*docs.columns, "n_lines", "n_dropped"}
 
 
-@pytest.mark.parametrize("limit", [3, 64])
-def test_lines_near(spark, monkeypatch, limit):
-    monkeypatch.setattr(linedup, "PAIR_LIMIT", limit)
+@pytest.mark.parametrize("most, dense", [(2048, 8), (3, 8), (2048, 0)])
+def test_lines_near(spark, monkeypatch, most, dense):
+    """Edited lines against all pairs: full buckets, dense ones and plain ones drop the same kind of lines."""
+    monkeypatch.setattr(linedup, "RUN", most)
+    monkeypatch.setattr(linedup, "DENSE", dense)
     monkeypatch.setattr(linedup, "TILE", 4)
-    base = sentence(60, 9)
-    rows = [(i, f"{base} end{i}" if i < 12 else sentence(40, 100 + i)) for i in range(20)]
-    got = {r.doc_id: r.n_dropped for r in linedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == 0 and sum(got[i] for i in range(12)) >= 9 and all(got[i] == 0 for i in range(12, 20))
+    monkeypatch.setattr(linedup, "HOLD", 300)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    lines = []
+    for g in range(40):
+        base = [word() for _ in range(r.randint(8, 60))]
+        lines += [" ".join(word() if r.random() < rate else w for w in base) for rate in [0, 0.02, 0.05, 0.1, 0.1, 0.3][: r.randint(1, 6)]]
+    lines += [lines[0].upper() + "!"]
+    sims = linedup.simhashes([x.split() for x in map(linedup.normalise, lines)])
+
+    def dropped(linked):
+        low = list(range(len(lines)))
+        for _ in range(len(lines)):
+            new = [min([low[i]] + [low[j] for j in range(len(lines)) if linked[i][j]]) for i in range(len(lines))]
+            if new == low:
+                break
+            low = new
+        return {i for i, x in enumerate(low) if x != i}
+
+    norm = [" ".join(linedup.normalise(x).split()) for x in lines]
+    similar = [[i != j and linedup.edit_similar(a, b) for j, b in enumerate(norm)] for i, a in enumerate(norm)]
+    near = [[x and int(sims[i] ^ sims[j]).bit_count() <= linedup.BITS for j, x in enumerate(row)] for i, row in enumerate(similar)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in linedup.deduplicate(rows).collect() if x.n_dropped}
+    least, greatest = dropped(near), dropped(similar)
+    assert least <= got <= greatest and len(got) >= 0.8 * len(greatest) and len(least) > 20
 
 
 def test_edit_similarity():
