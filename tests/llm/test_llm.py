@@ -331,6 +331,22 @@ def test_lines_near(spark, monkeypatch, most, dense):
     assert least <= got <= greatest and len(got) >= 0.8 * len(greatest) and len(least) > 20
 
 
+def test_lines_near_in_a_table_of_any_size(spark, monkeypatch):
+    """As many near lines are found if the table is said to have 2^27 lines."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    lines = []
+    for _ in range(200):
+        base = [word() for _ in range(20)]
+        lines += [" ".join(base), " ".join(word() if i in (3, 11) else w for i, w in enumerate(base))]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    dropped = lambda: {x.doc_id for x in linedup.deduplicate(rows).collect() if x.n_dropped}
+    small = dropped()
+    monkeypatch.setattr(linedup, "TASK_KEYS", 1 << 60)
+    monkeypatch.setattr(type(rows), "count", lambda self: 1 << 27)
+    assert len(small) > 100 and dropped() == small
+
+
 def test_edit_similarity():
     def distance(a, b):
         row = list(range(len(b) + 1))
