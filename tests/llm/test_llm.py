@@ -347,6 +347,27 @@ def test_lines_near_in_a_table_of_any_size(spark, monkeypatch):
     assert len(small) > 100 and dropped() == small
 
 
+@pytest.mark.parametrize("most, dense", [(2048, 8), (2, 8)])
+def test_short_lines_near(spark, monkeypatch, most, dense):
+    """Lines of 5 to 7 words against all pairs: every line with an edit similarity of 0.8 to an earlier one goes."""
+    monkeypatch.setattr(linedup, "RUN", most)
+    monkeypatch.setattr(linedup, "DENSE", dense)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    lines = []
+    for _ in range(150):
+        base = [word() for _ in range(r.randint(5, 7))]
+        new = list(base)
+        for i in r.sample(range(len(base)), r.randint(1, 2)):
+            at = r.randrange(len(new[i]))
+            new[i] = r.choice([new[i][:at] + "q" + new[i][at + 1:], new[i][:at] + new[i][at + 1:], new[i] + "s", new[i] + " q", word()])
+        lines += [" ".join(base), " ".join(new)]
+    near = {j for j, b in enumerate(lines) for a in lines[:j] if linedup.edit_similar(a, b)}
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in linedup.deduplicate(rows).collect() if x.n_dropped}
+    assert len(near) > 80 and got == near
+
+
 def test_edit_similarity():
     def distance(a, b):
         row = list(range(len(b) + 1))
