@@ -368,6 +368,14 @@ def test_short_lines_near(spark, monkeypatch, most, dense):
     assert len(near) > 80 and got == near
 
 
+def test_lines_of_few_words(spark):
+    """Exact repeats of any line that is not blank go, and near ones of long lines without blanks."""
+    url = "https://example.org/" + "".join(random.Random(3).choice("abcdefghijklmnop") for _ in range(200))
+    texts = ["All rights reserved.\n\n-----\nab", "all rights  reserved\n\n-----\nac\n=====", url, url[:150] + "q" + url[151:], "ab"]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in linedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nac\n=====", 2), 2: (url, 0), 3: ("", 1), 4: ("", 1)}
+
+
 def test_edit_similarity():
     def distance(a, b):
         row = list(range(len(b) + 1))
