@@ -57,12 +57,12 @@ def metadata(text: str, n_chars: int | None, lang: str | None) -> np.ndarray:
     lines = text.split("\n")
     n = max(1, len(text))
     kinds = {c: text.count(c) / n for c in ".,|#%&*$!\n "}
-    letters = sum(map(str.isalpha, text)) if len(text) < 5000 else sum(map(str.isalpha, text[:: len(text) // 2500]))
+    letters = sum(map(str.isalpha, text))
     upper = len(text) - len(re.sub(r"[A-ZÄÖÜÉÈÊÇÑÍÓ]", "", text))
     sizes = list(map(len, lines))
     tongue = [float(lang == x) for x in ("en", "de", "fr", "es")]
     return np.array([np.log1p(n_chars if n_chars is not None and n_chars >= 0 else len(text)), np.log1p(len(lines)), np.log1p(max(sizes)), np.log1p(np.mean(sizes)),
-                     upper / n, letters / max(1, len(text) if len(text) < 5000 else len(text[:: len(text) // 2500])), *[np.sqrt(v) for v in kinds.values()],
+                     upper / n, letters / n, *[np.sqrt(v) for v in kinds.values()],
                      sum(kinds[c] for c in "|#%&*$!") > 0.02, *tongue], dtype=float)
 
 

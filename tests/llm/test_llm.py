@@ -434,6 +434,12 @@ def test_quality(spark, docs, none):
     assert quality.kept(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("rows", [10, 2500])
+def test_quality_counts_all_letters(rows):
+    text = ("a" * 14 + "0" * 6) * rows
+    assert quality.metadata(text, None, None)[5] == pytest.approx(0.7)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
