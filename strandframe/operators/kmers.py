@@ -59,13 +59,26 @@ def minimizers(sequences: DataFrame, k: int, w: int, key: str = "read_id") -> Da
     return least.withColumn("kept", F.max("least").over(ahead)).where("hash <= kept").select(key, "pos", "hash")
 
 
-def seeds(queries: DataFrame, index: DataFrame, most: int = 1000) -> DataFrame:
-    """(read_id, q_pos, tx_id, t_pos, hash): equal hashes; hashes with over ``most`` places in the index are left out."""
+def occurrence_cutoff(index: DataFrame, share: float = 2e-4, least: int = 10, greatest: int = 1_000_000) -> int:
+    """The most places that a seed's hash may have: one above the quantile of places over all hashes that ``share`` of them exceed."""
+    places = index.groupBy("hash").agg(F.count("*").alias("places")).groupBy("places").agg(F.count("*").alias("n")).orderBy("places").collect()
+    at, seen, cutoff = int((1.0 - share) * sum(r.n for r in places)), 0, greatest
+    for r in places:
+        seen += r.n
+        if seen > at:
+            cutoff = r.places + 1
+            break
+    return min(max(cutoff, least), greatest)
+
+
+def seeds(queries: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
+    """(read_id, q_pos, tx_id, t_pos, hash): equal hashes; those with over ``most`` places in the index (occurrence_cutoff) are left out."""
+    most = occurrence_cutoff(index) if most is None else most
     rare = index.groupBy("hash").agg(F.count("*").alias("places")).where(F.col("places") <= most).select("hash")
     return queries.select("read_id", F.col("pos").alias("q_pos"), "hash").join(index.join(rare, "hash").select("tx_id", F.col("pos").alias("t_pos"), "hash"), "hash").select("read_id", "q_pos", "tx_id", "t_pos", "hash")
 
 
-def chains(seeds: DataFrame, k: int, max_gap: int = 5000, most_back: int = 50) -> DataFrame:
+def chains(seeds: DataFrame, k: int, max_gap: int = 5000, most_back: int = 5000) -> DataFrame:
     """(read_id, tx_id, score, n_seeds) of the best chain of each read and target: matched bases less a gap cost."""
     def best(q: list[int], t: list[int]) -> tuple[float, int]:
         score, count = [float(k)] * len(q), [1] * len(q)

@@ -301,13 +301,13 @@ def minimizers(spark, sf_dir):
     return kmers.minimizers(reads(spark, sf_dir), 7, 5)
 
 
-def _seeds(spark, sf_dir):
-    return kmers.seeds(kmers.minimizers(reads(spark, sf_dir), 7, 5), kmers.minimizers(transcripts(spark, sf_dir), 7, 5, "tx_id"), 50)
+def _seeds(spark, sf_dir, most=None):
+    return kmers.seeds(kmers.minimizers(reads(spark, sf_dir), 7, 5), kmers.minimizers(transcripts(spark, sf_dir), 7, 5, "tx_id"), most)
 
 
 @query(f"with {READS}, {TRANSCRIPTS}, {_QM}, {_TM}, rare as (select hash from tm group by hash having count(*) <= 50) select read_id, cast(qm.pos as integer) as q_pos, tx_id, cast(tm.pos as integer) as t_pos, hash from qm join tm using (hash) where hash in (select hash from rare)")
 def seed_join(spark, sf_dir):
-    return _seeds(spark, sf_dir)
+    return _seeds(spark, sf_dir, 50)  # the cap that its SQL has
 
 
 @query()
@@ -440,7 +440,7 @@ def tile_sampling(spark, sf_dir):
 @query()
 def contaminant_match(spark, sf_dir):
     top = qc.sequence_counts(reads(spark, sf_dir)).where("n > 3").select("key")
-    known = transcripts(spark, sf_dir).where("tx_id % 400 = 1").select(F.concat(F.lit("tx"), F.col("tx_id").cast("string")).alias("name"), F.col("seq").alias("sequence"))
+    known = transcripts(spark, sf_dir).groupBy("seq").agg(F.min("tx_id").alias("tx_id")).select(F.concat(F.lit("tx"), F.col("tx_id").cast("string")).alias("name"), F.col("seq").alias("sequence"))
     return etl.contaminants(top, known)
 
 
