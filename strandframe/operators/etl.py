@@ -34,10 +34,13 @@ def contaminants(sequences: DataFrame, known: DataFrame, least: int = 20) -> Dat
     Sequences of 8 to 19 bases match as a whole; longer ones by their longest equal run at any offset, of over ``least``.
     """
     both = known.select("name", F.explode(F.array("sequence", reverse_complement(F.col("sequence")))).alias("known"))
-    pairs = sequences.crossJoin(F.broadcast(both))  # the list is a small file of the configuration
     n = F.length("key")
-    short = pairs.where((n >= 8) & (n < least)).where(F.instr(F.col("known"), F.col("key")) > 0).select("key", "name", n.alias("length"), F.lit(100).alias("identity"))
-    shifted = pairs.where(n >= least).select("key", "name", "known", F.explode(F.sequence(F.lit(least) - F.length("known"), n - least)).alias("offset"))
+    # a whole match shares its first 8 bases; a run of over ``least`` with one difference has least / 2 equal bases in a row
+    starts = sequences.where((n >= 8) & (n < least)).withColumn("part", F.substring("key", 1, 8))
+    whole = starts.join(_parts(both, "known", 8, "at"), "part").where(F.substring(F.col("known"), F.col("at"), n) == F.col("key"))
+    short = whole.select("key", "name", n.alias("length"), F.lit(100).alias("identity")).distinct()
+    seeds = _parts(sequences.where(n >= least), "key", least // 2, "i").join(_parts(both, "known", least // 2, "at"), "part")
+    shifted = seeds.select("key", "name", "known", (F.col("i") - F.col("at")).alias("offset")).distinct()
     at = lambda i: F.substring("key", i, F.lit(1)) == F.substring("known", i - F.col("offset"), F.lit(1))
     span = F.sequence(F.greatest(F.lit(1), F.col("offset") + 1), F.least(n, F.col("offset") + F.length("known")))
     # longest run with one difference: fold of (current, last, best, best differences)
@@ -47,6 +50,12 @@ def contaminants(sequences: DataFrame, known: DataFrame, least: int = 20) -> Dat
     return best.select("key", "b.name", "b.length", "b.identity")
 
 
+def _parts(rows: DataFrame, text: str, k: int, at: str) -> DataFrame:
+    """``rows`` once for each part of k letters of a text, with the part and where it begins, from 1 on."""
+    begins = F.explode(F.sequence(F.lit(1), F.length(text) - k + 1)).alias(at)
+    return rows.where(F.length(text) >= k).select("*", begins).withColumn("part", F.substring(F.col(text), F.col(at), F.lit(k)))
+
+
 def _step(s: Column, same: Column) -> Column:
     cur = F.when(same, s["cur"] + 1).when(s["mis"] == 0, s["cur"] + 1).otherwise(s["last"] + 1)
     last = F.when(same, s["last"] + 1).otherwise(F.lit(0))
