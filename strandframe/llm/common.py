@@ -42,6 +42,13 @@ def remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark takes it to have, for readers and writers outside Spark."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -78,18 +85,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *clear: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What empties the caches of this Python process, by module.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, whose worker gives back its memory when a task ends: workers are reused by later stages.
 
-    clear: what empties the caches of the module that ``run`` is of.
+    keeps: the module of CACHES whose cache the tasks use; it stays for further tasks, those of other modules go.
     """
 
     def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strandframe.llm import common  # the worker's own
+
+        for name, forget in common.CACHES.items():
+            if name != keeps:
+                forget()
         try:
             yield from run(batches)
         finally:
-            for f in clear:
-                f()
             give_back()
 
     return rested

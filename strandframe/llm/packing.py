@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import resting, staged
 from .tokens import word_encoder
 
 CAPACITY = 2048
@@ -90,7 +90,7 @@ def _pieces(capacity: int, path: str, keep_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): documents as token ids and an end id, cut at ``capacity``."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(_pieces(capacity, tokenizer, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return picked.mapInArrow(resting(_pieces(capacity, tokenizer, keep_ids), "tokens"), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resting
 from .learn import Linear, platt, sigmoid
 from .toxicity import sample
 
@@ -117,7 +118,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collected(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    rows = df.select("doc_id", "text", "n_chars", "lang", "y").mapInArrow(_extract, "doc_id long, a binary, b binary, y int").toPandas().sort_values(["doc_id", "a"], kind="stable")
+    rows = df.select("doc_id", "text", "n_chars", "lang", "y").mapInArrow(resting(_extract), "doc_id long, a binary, b binary, y int").toPandas().sort_values(["doc_id", "a"], kind="stable")
     return [_stack([np.frombuffer(x) for x in rows[c]]) for c in ("a", "b")], rows["y"].to_numpy(dtype=float)
 
 
@@ -157,7 +158,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts are empty and judged as such; null or missing n_chars and lang count as the text's length and as no
     language; equal rows are each returned. Without labels of both kinds all are kept. No rows give no rows.
     """
-    scored = _whole(docs).mapInArrow(_scoring(fit(docs, labels)), "doc_id long, text_score double, metadata_score double, quality_score double")
+    scored = _whole(docs).mapInArrow(resting(_scoring(fit(docs, labels))), "doc_id long, text_score double, metadata_score double, quality_score double")
     return scored.withColumn("keep", F.col("quality_score") >= REJECT)
 
 
@@ -176,4 +177,4 @@ def _filtering(model: Model | None, names: list[str]):
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, in one pass over whole rows."""
-    return docs.mapInArrow(_filtering(fit(docs, labels), docs.columns), docs.schema)
+    return docs.mapInArrow(resting(_filtering(fit(docs, labels), docs.columns)), docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hamming, release, staged
+from .common import components, hamming, release, resting, staged
 
 #: Widths of the five blocks of a fingerprint. Two differing bits touch two blocks at most, so three agree.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -102,7 +102,7 @@ def links(classes: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of each whole text; null texts count as empty."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return picked.mapInArrow(resting(_fingerprints), "doc_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

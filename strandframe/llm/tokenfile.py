@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, parallelism, staged
+from .common import new_path, parallelism, qualified, resting, staged
 from .tokens import byte_encoder
 
 END = 2
@@ -113,6 +113,7 @@ class Reader:
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI; executors get qualified ones, so a bare path is one of this machine, as in tests."""
     return pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)
 
 
@@ -160,7 +161,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, frame: i
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = picked.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(dealt.mapInArrow(_writing(folder, tokenizer, end, frame), "part int, file string, docs long, ids long"), "files")
+    return staged(dealt.mapInArrow(resting(_writing(qualified(docs.sparkSession, folder), tokenizer, end, frame), "tokens"), "part int, file string, docs long, ids long"), "files")
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def read(files: DataFrame) -> DataFrame:
         rows.append((file, base))
         base += n
     listed = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(_reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(resting(_reading), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:

@@ -14,8 +14,12 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .common import CACHES
+
 #: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
-CACHE, LINE, TOGETHER = 800_000, 50, 1_000_000
+CACHE, LINE, TOGETHER = 400_000, 50, 1_000_000
+#: Before the string of a special token among cuts: no text has it.
+SPECIAL = "\ud800"
 
 
 def public_path(name: str) -> str:
@@ -25,62 +29,86 @@ def public_path(name: str) -> str:
 
 
 class Encoder:
-    """cut: a text's cuts. plain: whether a cut may be encoded between separators. simple: for cuts that ``one`` says
-    are one word in normal form, the same tokenizer without the steps that do nothing to them."""
+    """cut: a text's cuts. plain: whether a cut may be encoded between separators. one: whether a cut is surely one word of
+    the tokenizer; such cuts are encoded by the same model without the search for words, one to a line."""
 
-    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], simple: bool):
+    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], one: Callable[[str], bool]):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # as in a plain call, the strings of special tokens in a text are those tokens; cuts, which may have become such
+        # a string by lower case, are ordinary text
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self.fixed = {SPECIAL + x: i.to_bytes(4, "little") for x, i in special.items()}
+        self.tokenizer.encode_special_tokens = True
         self.separator, self.cut, self.plain = separator, cut, plain
         (self.between,) = self.ids(separator)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.simple = None
-        if simple:
-            self.simple = Tokenizer.from_file(path)
+        self.forget()
+        self.one = one
+        self.simple = Tokenizer.from_file(path)
+        self.simple.encode_special_tokens = True
+        if self.simple.normalizer is not None:
             self.simple.normalizer = None
-            self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.simple.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+
+    def forget(self) -> None:
+        self.new: dict[str, bytes] = dict(self.fixed)
+        self.old: dict[str, bytes] = {}
+
+    def cuts(self, text: str) -> list[str]:
+        if not self.special.search(text):
+            return self.cut(text)
+        return [c for i, x in enumerate(self.special.split(text)) if x for c in ([SPECIAL + x] if i % 2 else self.cut(x))]
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def line(self, cuts: list[str]) -> list[int]:
-        """The ids of cuts with separators between them."""
-        text = self.separator.join(cuts)
-        if self.simple and all(map(str.isalpha, cuts)) and text.islower() and is_normalized("NFC", text):
-            return self.simple.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return self.ids(text)
-
-    def learn(self, cuts: set[str]) -> None:
-        """Have all of ``cuts`` in the cache, and forget what was not used for a generation."""
-        missing = cuts - self.new.keys()
+    def learn(self, missing: set[str], all_cuts: Callable[[], set[str]]) -> None:
+        """Have ``missing`` in the cache, and forget what was not used for a generation."""
         if len(self.new) + len(missing) > CACHE:
-            self.old, self.new, missing = self.new, {}, cuts
+            self.old, self.new = self.new, dict(self.fixed)
+            missing = all_cuts() - self.fixed.keys()
         if known := missing & self.old.keys():
             self.new |= {c: self.old[c] for c in known}
-            missing -= known
-        plain = sorted((c for c in missing if self.plain(c)), key=str.isalpha)
-        for at in range(0, len(plain), LINE):
-            part = plain[at: at + LINE]
-            ids = np.array(self.line(part), dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.between), len(ids))
-            if len(ends) != len(part):
-                raise ValueError("a separator's id is in a cut")
-            data = ids.tobytes()
-            begins = [0, *(4 * (ends[:-1] + 1)).tolist()]
-            self.new |= {c: data[a:b] for c, a, b in zip(part, begins, (4 * ends).tolist(), strict=True)}
-        if len(plain) < len(missing):
-            self.new |= {c: np.array(self.ids(c), dtype="<u4").tobytes() for c in missing if c not in self.new}
+            missing = missing - known
+        one, other, hard, parted = [], [], [], []
+        for c in missing:
+            if self.one(c):
+                one.append(c)
+            elif m := _PARTED.fullmatch(c):
+                parted.append((c, *m.groups()))
+            else:
+                (other if self.plain(c) else hard).append(c)
+        parts = {x for _, word, marks in parted for x in (word, marks)} - self.new.keys() - missing
+        for x in parts:
+            (one if self.one(x) else other if self.plain(x) else hard).append(x)
+        for tokenizer, cuts, mark in ((self.simple, one, f"\n{self.separator.strip(' ')}\n"), (self.tokenizer, other, self.separator)):
+            lines = [mark.join(cuts[at: at + LINE]) for at in range(0, len(cuts), LINE)]
+            if tokenizer is self.simple:
+                lines = list(map(_byte_letters, lines))
+            for i, line in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                part = cuts[i * LINE: (i + 1) * LINE]
+                ids = np.array(line.ids, dtype="<u4")
+                ends = [*(4 * np.flatnonzero(ids == self.between)).tolist(), 4 * len(ids)]
+                if len(ends) != len(part):
+                    raise ValueError("a separator's id is in a cut")
+                data, at = ids.tobytes(), 0
+                for c, end in zip(part, ends, strict=True):
+                    self.new[c] = data[at:end]
+                    at = end + 4
+        for c in hard:
+            self.new[c] = np.array(self.ids(c), dtype="<u4").tobytes()
+        for c, word, marks in parted:
+            self.new[c] = self.new[word] + self.new[marks]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(self.cut(text))
+            held.append(self.cuts(text))
             size += len(text)
             if size >= TOGETHER:
                 yield from self._encode(held)
@@ -88,32 +116,71 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, held: list[list[str]]) -> Iterator[bytes]:
-        self.learn(set().union(*held))
+        found = [list(map(self.new.get, cuts)) for cuts in held]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        if any(holes):
+            self.learn({cuts[i] for cuts, at in zip(held, holes, strict=True) for i in at}, lambda: set().union(*held))
         get = self.new.__getitem__
-        for cuts in held:
-            yield b"".join(map(get, cuts))
+        for cuts, ids, at in zip(held, found, holes, strict=True):
+            for i in at:
+                ids[i] = get(cuts[i])
+            yield b"".join(ids)
+
+
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The letters that byte-level vocabularies have for bytes: printable ones of Latin-1 stand for themselves, the others, in
+#: order, for the letters from 256 on. Line feeds stay.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+_FEED = chr(_BYTE_LETTERS.pop(10))
+
 
+def _byte_letters(text: str) -> str:
+    """``text``, of letters, blanks and line feeds, in the letters of byte-level vocabularies; of three line feeds, the second."""
+    if text.isascii():
+        return text.replace(" ", chr(_BYTE_LETTERS[32])).replace("\n\n\n", f"\n{_FEED}\n")
+    return text.encode().decode("latin-1").translate(_BYTE_LETTERS).replace("\n\n\n", f"\n{_FEED}\n")
 
-#: A comma or full stop after a letter and before a blank or the end is a word of its own to both tokenizers.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+
+#: A comma or full stop after a letter and before a blank or the end is a word of its own to both tokenizers. A mark goes
+#: before every one that a blank follows, then those go that no letter is before.
+_ENDS = [(c + e, "\x00" + c + e) for c in ",." for e in " \n"]
+_NOT_AFTER_LETTER = re.compile(r"\x00(?:(?<=[\W\d_]\x00)|(?<=^\x00))")
 _MARKED = re.compile(r" ?\S+")
 _CUT = re.compile(r"(?<=\S)(?= )")
-_BLANKS = re.compile(r"\s ")
+_BLANKS = re.compile(r"\s\s")
+#: A word and signs after it, which are words of their own to both tokenizers.
+_PARTED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+
+
+def _marked(text: str) -> str:
+    """``text``, which has no zero character, with one before each comma or full stop that is a word of its own."""
+    for end, marked in _ENDS:
+        text = text.replace(end, marked)
+    if text.endswith((",", ".")):
+        text = text[:-1] + "\x00" + text[-1]
+    return _NOT_AFTER_LETTER.sub("", text) if _NOT_AFTER_LETTER.search(text) else text
 
 
 def _word_cuts(text: str) -> list[str]:
     if "Σ" not in text:  # else lower case depends on the place in a word
         text = text.lower()
-    return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+    if "\x00" not in text:
+        text = _marked(text).replace("\x00", " ")
+    return text.replace("\n", " ").split(" ")
+
+
+def _one_word(c: str) -> bool:
+    return c.isalpha() and c.islower() and (c.isascii() or is_normalized("NFC", c))
 
 
 def _byte_cuts(text: str) -> list[str]:
     if "\x00" in text:
         return _CUT.split(text)
-    marked = _STOP.sub("\x00\\1", text)
+    marked = _marked(text)
     if text.startswith(" ") or _BLANKS.search(text):
         return [y for x in _CUT.split(marked) for y in x.split("\x00")]
-    return marked.replace(" ", "\x00 ").split("\x00")
+    # a line feed with no white space beside it is a word of its own
+    return marked.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -122,12 +189,21 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def word_encoder(path: str) -> Encoder:
     """For a tokenizer that lower-cases, drops white space and whose words never cross it."""
     if ("word", path) not in _encoders:
-        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, True)
+        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, _one_word)
     return _encoders["word", path]
 
 
 def byte_encoder(path: str) -> Encoder:
     """For a byte-level tokenizer whose words begin with at most one blank: cuts are before a blank that follows no blank."""
     if ("byte", path) not in _encoders:
-        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, False)
+        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, lambda c: c[c[:1] == " ":].isalpha())
     return _encoders["byte", path]
+
+
+def forget() -> None:
+    """Empty the caches of this worker."""
+    for encoder in _encoders.values():
+        encoder.forget()
+
+
+CACHES["tokens"] = forget

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import resting
 from .learn import Linear, label_model, platt
 
 #: Documents with labels from which voters are found and models fitted, at most; taken by a hash of doc_id.
@@ -56,7 +57,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mine(sampled: DataFrame, ones: int, zeros: int, most: int = VOTERS) -> tuple[list[str], list[str]]:
     """Words and stems that occur far oftener with label 1 than with 0: at 5 times the odds or more, by a z-score."""
-    found = sampled.select(F.col("text"), F.col("y")).mapInArrow(_counting, "key string, ones long, zeros long")
+    found = sampled.select(F.col("text"), F.col("y")).mapInArrow(resting(_counting), "key string, ones long, zeros long")
     found = found.groupBy("key").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b")).where(F.col("a") >= SUPPORT)
     odds = F.log((F.col("a") + 0.5) / (F.lit(max(1, ones)) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(max(1, zeros)) - F.col("b") + 0.5))
     z = F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
         return None, float(n.get(1, 0) > 0)
 
     def featured(model: Model) -> tuple[np.ndarray, np.ndarray]:
-        rows = picked.mapInArrow(_featuring(model), "x binary, y int, doc_id long").toPandas().sort_values(["doc_id", "x"], kind="stable")
+        rows = picked.mapInArrow(resting(_featuring(model)), "x binary, y int, doc_id long").toPandas().sort_values(["doc_id", "x"], kind="stable")
         return np.array([np.frombuffer(x, np.float32) for x in rows["x"]], dtype=float).reshape(len(rows), -1), rows["y"].to_numpy(dtype=float)
 
     return train(*mine(picked, n[1], n[0]), featured), n[1] / (n[0] + n[1])
@@ -162,5 +163,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model, prior = fit(docs, labels)
     picked = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    scored = picked.mapInArrow(_scoring(model, prior), "score double, doc_id long")
+    scored = picked.mapInArrow(resting(_scoring(model, prior)), "score double, doc_id long")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

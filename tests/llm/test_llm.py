@@ -119,7 +119,6 @@ def test_packing(docs, none):
 
     path = public_path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = []
     for r in ROWS:
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -163,9 +162,9 @@ def test_token_encoders_equal_the_tokenizer():
 
     r = random.Random(1)
     texts = ["".join(r.choice("aB .,\n'\t0é \x00\x01sΣ²|!́\x1c") for _ in range(r.randint(0, 30))) for _ in range(3000)] + [x[1] or "" for x in ROWS]
+    texts += ["a <|endoftext|> b", "a<|ENDOFTEXT|>b <|endoftext|><|startoftext|>", "word,.\n\nnext\n", "thé,### a$$ b."]
     for name, made in (("word_bpe_49k.json", word_encoder), ("byte_bpe_50k.json", byte_encoder)):
         t = Tokenizer.from_file(public_path(name))
-        t.encode_special_tokens = True
         assert list(made(public_path(name)).encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -185,7 +184,7 @@ def test_token_files(docs, none, tmp_path):
         whole = list(reader.documents())
         assert [reader.document(i) for i in reversed(range(len(whole)))] == [ids for *_, ids in reversed(whole)]
     assert tokenfile.read(tokenfile.write(none, str(tmp_path / "none"), path)).count() == 0
-    name = next(f.file for f in files.collect() if f.ids > 5000)
+    name = next(f.file for f in files.collect() if f.ids > 5000).removeprefix("file://")
     data = bytearray(open(name, "rb").read())
     data[200] ^= 1
     open(name, "wb").write(data)
@@ -217,6 +216,17 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixed_documents(spark, none):
+    """Each row by itself: without an id, with a shared one, in columns of any names."""
+    rows = [(None, "one two three", "a", 1, 2), (None, "four five", "a", 1, 2), (7, "six", "b", 3, 4), (7, "seven eight nine ten", "b", 5, 6), (8, None, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, _copy int")
+    plan = mixing.mix(docs).collect()
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert sum(r.taken for r in plan) == sum(len((r.text or "").split()) for r in got.collect()) > 0
+    assert {r.doc_id for r in got.collect()} >= {None, 7} and mixing.mixed_documents(none).count() == 0
+
+
 def test_mixing_comes_near_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randrange(1, 60)), r.choice("abcdefg")) for i in range(3000)]
@@ -331,6 +341,24 @@ def test_lines_near(spark, monkeypatch, most, dense):
     assert least <= got <= greatest and len(got) >= 0.8 * len(greatest) and len(least) > 20
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A line goes where it repeats one; rows of one doc_id are told apart by their texts; any names of columns do."""
+    a, b = "a line of words that two of the rows have", "this line here is in one row and nowhere else"
+    rows = spark.createDataFrame([(1, a, 1, 2, 3), (2, a, 1, 2, 3), (2, b, 1, 2, 3), (3, f"{b} it says\n{a}\nx", 4, 5, 6)], "doc_id long, text string, _id int, _drop int, drop int")
+    got = sorted((r.doc_id, r.text, r.n_dropped, r._id, r._drop, r["drop"]) for r in linedup.deduplicate(rows).collect())
+    assert got == [(1, a, 0, 1, 2, 3), (2, "", 1, 1, 2, 3), (2, b, 0, 1, 2, 3), (3, "x", 2, 4, 5, 6)]
+
+
+def test_normalised_lines():
+    """The quick way over bytes gives the lines of the plain one."""
+    r = random.Random(2)
+    for alphabet in ("aB 1,.\n\t\r\x0b\x1c\x85\xa0éß²µÀ×-_'", "aB 1,.\n\t\u2028\u3000éßŁΣ☃'"):
+        for _ in range(500):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+            plain = re.sub(r"[0-9]+", "0", re.sub(r"[^\w\s]+", " ", text.lower()))
+            assert linedup.normalised_lines(text) == [" ".join(x.split()) for x in plain.split("\n")], repr(text)
+
+
 def test_lines_near_in_a_table_of_any_size(spark, monkeypatch):
     """As many near lines are found if the table is said to have 2^27 lines."""
     r = random.Random(7)
