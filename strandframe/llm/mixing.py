@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import join_small, staged
 
-#: Buckets of the sampling key within a source; prefix sums run over buckets, then within the one at the boundary.
-BUCKETS = 1024
+#: Least buckets of the sampling key within a source, and documents for each beyond; prefix sums run over buckets, then
+#: within the one at the boundary.
+BUCKETS, PER_BUCKET = 1024, 20_000
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all sizes that the targets have together, and how often a source may be taken at most.
 SHARE, MOST = 1.5, 2.0
@@ -57,22 +58,24 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, carried: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) for each row of ``docs (doc_id, text, source)``.
 
     ``copies`` complete epochs of a source come first; the rest of its target goes to the documents with the least
     exponential keys -ln(u) / quality weight, up to the one at which the prefix sum of sizes is nearest the rest.
     taken = copies * size. Null texts have size 0 and are in complete epochs only by name; a null source is a source
     of its own; equal rows tie in key and are told apart by a hash of the row, then arbitrarily (they are equal, so
-    the totals agree). No rows give no rows. A document is never taken in part.
+    the totals agree). No rows give no rows. A document is never taken in part. carried: the whole row comes too, as ``row``.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    size = F.size(words(F.col("text"))).cast("long")
-    key = -F.log(uniform(F.col("doc_id"), F.col("source"), F.xxhash64("text"), seed=seed)) / quality_weight(F.col("text"))
+    text = F.col("text").cast("string")
+    size = F.size(words(text)).cast("long")
+    key = -F.log(uniform(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text), seed=seed)) / quality_weight(text)
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carried else []
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), size.alias("size"), key.alias("key"), *row)
+    sized = staged(sized, "sized")
     # 1 - exp(-key) is near uniform, and grows with the key: buckets of it are ranges of keys of like size
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
-    sized = staged(picked.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), key.alias("key"))
-                   .withColumn("bucket", bucket), "sized")
+    buckets = max(BUCKETS, sized.count() // PER_BUCKET)
+    sized = sized.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
     of = ["no_source", "source"]
     sums = staged(sized.groupBy(*of, "bucket").agg(F.sum("size").alias("size")), "bucket_sizes")
     per_source = sums.groupBy(*of).agg(F.sum("size").cast("long").alias("source_size"))
@@ -96,12 +99,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     both = sure.unionByName(edge)
     copies = (F.col("epochs") + F.col("more")).cast("int")
     return both.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
-                       (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+                       (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), *(["row"] if carried else []))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` in the mix: each as often as it is taken; documents never taken go. Rows without id are dropped."""
-    plan = staged(mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "plan")
-    plan = plan.withColumnRenamed("doc_id", "_id")
-    kept = docs.join(plan, docs["doc_id"] == plan["_id"]).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[kept[c] for c in docs.columns])
+    """``docs`` in the mix: each row as often as it is taken, with or without a doc_id of its own; rows never taken go."""
+    taken = mix(docs, carried=True).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
