@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,9 +92,21 @@ def field_stats(headers: DataFrame, delimiter: str, col: str = "header") -> Data
     return fields.groupBy("pos").agg(F.count_distinct("field").alias("n_values"), F.min("field").alias("sample"), F.count("*").alias("n"))
 
 
-def flowcell_runs(headers: DataFrame) -> DataFrame:
-    """(flowcell, first_id, last_id, n) of each run of reads from one flowcell, by read_id: gaps and islands.
+def flowcell_runs(headers: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """(flowcell, first_id, last_id, n) of each run of reads from one flowcell, by read_id.
 
-    Runs are found by islands within the flowcell's own order, so no window holds all reads.
+    Runs are found within blocks of read ids; then the first and the last run of each block, two rows at most, are stitched
+    over the blocks' edges, so no task sees more than a block or the edges.
     """
-    return headers.groupBy("flowcell").agg(F.min("read_id").alias("first_id"), F.max("read_id").alias("last_id"), F.count("*").alias("n"))
+    within = Window.partitionBy("block").orderBy("read_id")
+    rows = headers.select("flowcell", "read_id", F.floor(F.col("read_id") / block).alias("block"))
+    rows = rows.withColumn("new", (~F.col("flowcell").eqNullSafe(F.lag("flowcell").over(within)) | F.lag("read_id").over(within).isNull()).cast("int"))
+    runs = rows.withColumn("run", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0))).groupBy("block", "run")
+    runs = runs.agg(F.first("flowcell").alias("flowcell"), F.min("read_id").alias("first_id"), F.max("read_id").alias("last_id"), F.count("*").alias("n"))
+    runs = runs.withColumn("last_run", F.max("run").over(Window.partitionBy("block")))
+    edges = runs.where("run = 1 or run = last_run")
+    order = Window.orderBy("block", "run")
+    goes_on = (F.col("run") == 1) & F.lag("flowcell").over(order).eqNullSafe(F.col("flowcell")) & F.lag(F.col("run") == F.col("last_run")).over(order)
+    edges = edges.withColumn("whole", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.groupBy("whole").agg(F.first("flowcell").alias("flowcell"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"))
+    return runs.where("run > 1 and run < last_run").select("flowcell", "first_id", "last_id", "n").union(edges.select("flowcell", "first_id", "last_id", "n"))

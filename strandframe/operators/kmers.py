@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # K, w and homopolymer compression of the sketch presets.
@@ -25,11 +27,6 @@ def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def kmer_hash(kmer: Column) -> Column:
-    """32-bit hash of a k-mer, equal in every engine that has md5."""
-    return F.conv(F.substring(F.md5(kmer), 1, 8), 16, 10).cast("long")
-
-
 def hash64(key: Column, bits: int) -> Column:
     """Invertible mix of a packed k-mer within ``bits`` bits (at most 56), by shifts, sums and exclusive ors."""
     mask = (1 << bits) - 1
@@ -49,14 +46,91 @@ def packed(kmer: Column) -> Column:
     return F.when(~kmer.rlike("[^ACGT]"), F.conv(digits, 4, 10).cast("long"))
 
 
+_BASES = np.full(256, 4, np.int64)
+for _i, _c in enumerate("ACGT"):
+    _BASES[[ord(_c), ord(_c.lower())]] = _i
+
+
+def _mixed(key: np.ndarray, bits: int) -> np.ndarray:
+    """hash64 of an array."""
+    mask = np.uint64((1 << bits) - 1)
+    n = [np.uint64(i) for i in (21, 24, 3, 8, 14, 2, 4, 28, 31)]
+    key = (~key + (key << n[0])) & mask
+    key = key ^ key >> n[1]
+    key = (key + (key << n[2]) + (key << n[3])) & mask
+    key = key ^ key >> n[4]
+    key = (key + (key << n[5]) + (key << n[6])) & mask
+    key = key ^ key >> n[7]
+    return (key + (key << n[8])) & mask
+
+
+def sketch(sequences: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, pos, hash, strand) of the minimizers of each sequence, in order.
+
+    A k-mer stands for itself (strand 0) or its reverse complement (1), the lesser of the two as packed; those that equal
+    it and those with other letters count for nothing. Chosen are all k-mers with the least hash of some w in a row, and
+    the last of the least among the k-mers that end at the last w bases, so short sequences have one too. All sequences
+    are one array of bases, with w others between them, so the steps are as many for a long sequence as for many.
+    """
+    sizes = np.array([len(x) for x in sequences], np.int64)
+    gap = "-" * w
+    code = _BASES[np.frombuffer((gap.join(sequences) + gap).encode("ascii", "replace"), np.uint8)]
+    begins = np.cumsum(sizes + w) - sizes - w
+    n = len(code)
+    clean = np.concatenate(([0], np.cumsum(code > 3)))
+    there = np.zeros(n, bool)  # by the place of a k-mer's last base
+    there[k - 1:] = clean[k:] == clean[: n - k + 1]
+    base = np.where(code > 3, 0, code).astype(np.uint64)
+    front, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(k):  # the base j before the last
+        moved = np.zeros(n, np.uint64)
+        moved[j:] = base[: n - j]
+        front |= moved << np.uint64(2 * j)
+        back |= (np.uint64(3) - moved) << np.uint64(2 * (k - 1 - j))
+    there &= front != back
+    none = np.int64(1 << 62)
+    hashed = np.where(there, _mixed(np.minimum(front, back), 2 * k).astype(np.int64), none)
+    least, whole = hashed.copy(), there.astype(np.int64)
+    for j in range(1, w):
+        least[j:] = np.minimum(least[j:], hashed[:-j])
+        whole[j:] += there[:-j]
+    least[whole < w] = -1
+    kept = least.copy()  # the greatest least of the windows that a k-mer is in
+    for j in range(1, w):
+        kept[:-j] = np.maximum(kept[:-j], least[j:])
+    chosen = there & (hashed <= kept)
+    last, best, at = begins + sizes - 1, np.full(len(sizes), none), np.full(len(sizes), -1)
+    for j in range(w):
+        ok = (last - j >= begins) & (sizes > 0)
+        better = ok & (hashed[np.maximum(last - j, 0)] < best)
+        best[better], at[better] = hashed[(last - j)[better]], (last - j)[better]
+    chosen[at[at >= 0]] = True
+    where = np.flatnonzero(chosen)
+    of = np.searchsorted(begins, where, side="right") - 1
+    return of, where - begins[of] - (k - 1), hashed[where], (back < front)[where].astype(np.int32)
+
+
 def minimizers(sequences: DataFrame, k: int, w: int, key: str = "read_id") -> DataFrame:
-    """(key, pos, hash): k-mers with the least hash of some window of w; all of equal hash; windows within the sequence."""
-    s = sequences.select(key, F.posexplode(F.transform(kmers_of(F.col("seq"), k), lambda x: x)).alias("pos", "kmer")).where("not contains(kmer, 'N')").select(key, "pos", kmer_hash(F.col("kmer")).alias("hash"))
-    win = Window.partitionBy(key).orderBy("pos").rangeBetween(-(w - 1), 0)
-    least = s.withColumn("least", F.min("hash").over(win))
-    # a k-mer is selected if it is the least of a window that ends at it or up to w - 1 later
-    ahead = Window.partitionBy(key).orderBy("pos").rangeBetween(0, w - 1)
-    return least.withColumn("kept", F.max("least").over(ahead)).where("hash <= kept").select(key, "pos", "hash")
+    """(key, pos, hash, strand) of the minimizers (see ``sketch``) of ``sequences (key, seq)``, by rows: nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seqs = batch.column(0).to_numpy(zero_copy_only=False), [x or "" for x in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(seqs):  # some million bases at a time, or one sequence
+                end, size = at, 0
+                while end < len(seqs) and (end == at or size + len(seqs[end]) < 2_000_000):
+                    size += len(seqs[end])
+                    end += 1
+                of, pos, hashed, strand = sketch(seqs[at:end], k, w)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][of], pa.int64()), pa.array(pos, pa.int32()), pa.array(hashed, pa.int64()), pa.array(strand, pa.int32())], [key, "pos", "hash", "strand"])
+                at = end
+
+    return sequences.select(F.col(key).cast("long"), "seq").where(f"{key} is not null").mapInArrow(run, f"{key} long, pos int, hash long, strand int")
+
+
+def unpacked(number: Column, k: int) -> Column:
+    """The k-mer of a packed number."""
+    return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def occurrence_cutoff(index: DataFrame, share: float = 2e-4, least: int = 10, greatest: int = 1_000_000) -> int:
@@ -72,14 +146,22 @@ def occurrence_cutoff(index: DataFrame, share: float = 2e-4, least: int = 10, gr
 
 
 def seeds(queries: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
-    """(read_id, q_pos, tx_id, t_pos, hash): equal hashes; those with over ``most`` places in the index (occurrence_cutoff) are left out."""
+    """(read_id, q_pos, tx_id, t_pos, hash, reversed): equal hashes; those with over ``most`` places in the index (occurrence_cutoff) are left out.
+
+    reversed: whether the two lie on opposite strands (1); only if both tables have strands.
+    """
     most = occurrence_cutoff(index) if most is None else most
     rare = index.groupBy("hash").agg(F.count("*").alias("places")).where(F.col("places") <= most).select("hash")
-    return queries.select("read_id", F.col("pos").alias("q_pos"), "hash").join(index.join(rare, "hash").select("tx_id", F.col("pos").alias("t_pos"), "hash"), "hash").select("read_id", "q_pos", "tx_id", "t_pos", "hash")
+    turned = [F.col("q_strand").bitwiseXOR(F.col("t_strand")).alias("reversed")] if "strand" in queries.columns and "strand" in index.columns else []
+    side = lambda df, key, letter: df.select(key, F.col("pos").alias(f"{letter}_pos"), "hash", *([F.col("strand").alias(f"{letter}_strand")] if turned else []))
+    return side(queries, "read_id", "q").join(side(index.join(rare, "hash"), "tx_id", "t"), "hash").select("read_id", "q_pos", "tx_id", "t_pos", "hash", *turned)
 
 
 def chains(seeds: DataFrame, k: int, max_gap: int = 5000, most_back: int = 5000) -> DataFrame:
-    """(read_id, tx_id, score, n_seeds) of the best chain of each read and target: matched bases less a gap cost."""
+    """(read_id, tx_id, score, n_seeds) of the best chain of each read and target: matched bases less a gap cost.
+
+    Seeds of opposite strands (reversed) chain among themselves, the read being walked backwards.
+    """
     def best(q: list[int], t: list[int]) -> tuple[float, int]:
         score, count = [float(k)] * len(q), [1] * len(q)
         for i in range(len(q)):
@@ -95,20 +177,30 @@ def chains(seeds: DataFrame, k: int, max_gap: int = 5000, most_back: int = 5000)
         return round(score[at], 6), count[at]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, q, t = None, [], []
+        key, parts = None, ([], [])
+        out: list[tuple] = []
+
+        def settle() -> None:
+            scored = [best([x[0] for x in p], [x[1] for x in p]) for p in parts if p]
+            out.append((*key, *max(scored, key=lambda x: x[0])))
+
         for pdf in frames:
-            out = []
-            for read, tx, tp, qp in zip(*(pdf[c].tolist() for c in ("read_id", "tx_id", "t_pos", "q_pos")), strict=True):
+            out.clear()
+            for read, tx, tp, qp, turned in zip(*(pdf[c].tolist() for c in ("read_id", "tx_id", "t_pos", "q_pos", "reversed")), strict=True):
                 if (read, tx) != key:
                     if key is not None:
-                        out.append((*key, *best(q, t)))
-                    key, q, t = (read, tx), [], []
-                q.append(qp)
-                t.append(tp)
+                        settle()
+                    key, parts = (read, tx), ([], [])
+                parts[turned].append((qp, tp))
             yield pd.DataFrame(out, columns=["read_id", "tx_id", "score", "n_seeds"])
+        out.clear()
         if key is not None:
-            yield pd.DataFrame([(*key, *best(q, t))], columns=["read_id", "tx_id", "score", "n_seeds"])
+            settle()
+            yield pd.DataFrame(out, columns=["read_id", "tx_id", "score", "n_seeds"])
 
     # groups are small and many: sorted partitions are streamed, a group at a time
+    if "reversed" not in seeds.columns:
+        seeds = seeds.withColumn("reversed", F.lit(0))
+    seeds = seeds.withColumn("q_pos", F.when(F.col("reversed") == 1, -F.col("q_pos")).otherwise(F.col("q_pos")))
     dealt = seeds.repartition("read_id", "tx_id").sortWithinPartitions("read_id", "tx_id", "t_pos", "q_pos")
     return dealt.mapInPandas(run, "read_id long, tx_id long, score double, n_seeds int")

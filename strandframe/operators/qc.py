@@ -111,7 +111,7 @@ def overrepresented(reads: DataFrame, percent: float = 0.1, key_length: int = 50
 
 
 #: Least level of each slot from the tenth on, and its label; before, a level is its own slot.
-SLOTS = ((10, ">10"), (50, ">50"), (100, ">100"), (500, ">500"), (1000, ">1k"), (5000, ">5k"), (10000, ">10k+"))
+SLOTS = ((10, ">10"), (51, ">50"), (101, ">100"), (501, ">500"), (1001, ">1k"), (5001, ">5k"), (10001, ">10k"))
 
 
 def slot(level: Column) -> Column:
@@ -149,22 +149,23 @@ def kmer_content(reads: DataFrame, k: int = 7, every: int = 50, most: int = 20)
     everything = counts.agg(F.sum("n").alias("everything"))
     c = c.crossJoin(F.broadcast(everything)).withColumn("obs_exp", F.col("n") * F.col("everything") / (F.col("of_kmer") * F.col("of_pos")))  # one row
     best = c.groupBy("kmer").agg(F.max("of_kmer").alias("n"), F.max(F.struct(F.round("obs_exp", 6).alias("x"), (-F.col("pos")).alias("p"))).alias("b"))
-    return best.select("kmer", "n", F.col("b.x").alias("obs_exp"), (1 - F.col("b.p")).cast("int").alias("at")).orderBy(F.desc("n"), F.desc("obs_exp"), "kmer").limit(most)
+    return best.select("kmer", "n", F.col("b.x").alias("obs_exp"), (1 - F.col("b.p")).cast("int").alias("at")).orderBy(F.desc("obs_exp"), "kmer").limit(most)
 
 
 def bins(length: int, grouped: bool = True, exponential: bool = False) -> list[tuple[int, int]]:
-    """Position bins: single up to 75 bases or without grouping; else the first nine single, then a 2, 5, 10 ... interval that leaves under 75."""
-    if not grouped or (length <= 75 and not exponential):
+    """Position bins: single up to 75 bases or without grouping; else the first nine single, then a 2, 5, 10 ... interval that leaves under 75,
+    or, if exponential, intervals that grow with the position."""
+    if not grouped or length <= 75:
         return [(i, i) for i in range(1, length + 1)]
-    out = [(i, i) for i in range(1, min(9, length) + 1)]
     if exponential:
-        at, step = 10, 5
-        for edge, wide in ((50, 5), (100, 10), (500, 50), (1000, 100), (10**9, 500)):
-            step = wide
-            while at < edge and at <= length:
-                out.append((at, min(at + step - 1, length)))
-                at += step
+        out, at, step = [], 1, 1
+        while at <= length:
+            out.append((at, min(at + step - 1, length)))
+            at += step
+            # Where an interval grows, for lengths above what, and to what.
+            step = {(10, length > 75): 5, (50, length > 200): 10, (100, length > 300): 50, (500, length > 1000): 100, (1000, length > 2000): 500}.get((at, True), step)
         return out
+    out = [(i, i) for i in range(1, min(9, length) + 1)]
     step = next(m * 10**e for e in range(12) for m in (2, 5, 10) if 9 + -(-(length - 9) // (m * 10**e)) < 75)
     first = min(length, step - 1 if step > 10 else 9 + step - 9 % step) if step > 10 else 9
     if first > 9:

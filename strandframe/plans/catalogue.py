@@ -177,7 +177,10 @@ def sidecar_join(spark, sf_dir):
     return r.drop("header").join(side, F.col("read_id") == F.col("ordinal"), "left").select("read_id", F.coalesce("header", F.concat(F.lit("@seq"), F.col("read_id").cast("string"))).alias("header"), "seq")
 
 
-@query(f"with {READS} select split_part(header, ':', 3) as flowcell, min(read_id) as first_id, max(read_id) as last_id, cast(count(*) as bigint) as n from reads group by 1")
+@query(f"""with {READS}, r as (select read_id, split_part(header, ':', 3) as flowcell from reads),
+s as (select *, case when flowcell = lag(flowcell) over (order by read_id) then 0 else 1 end as new from r),
+i as (select *, sum(new) over (order by read_id rows unbounded preceding) as run from s)
+select flowcell, min(read_id) as first_id, max(read_id) as last_id, cast(count(*) as bigint) as n from i group by flowcell, run""")
 def flowcell_runs(spark, sf_dir):
     return headers.flowcell_runs(reads(spark, sf_dir).withColumn("flowcell", F.split("header", ":")[2]))
 
@@ -237,7 +240,7 @@ def qc_overrep(spark, sf_dir):
 
 
 @query(f"""with {READS}, c as (select count(*) as level from reads group by substr(seq, 1, 50)),
-s as (select level, case when level >= 10000 then '>10k+' when level >= 5000 then '>5k' when level >= 1000 then '>1k' when level >= 500 then '>500' when level >= 100 then '>100' when level >= 50 then '>50' when level >= 10 then '>10' else cast(level as varchar) end as slot from c)
+s as (select level, case when level - 1 > 9999 then '>10k' when level - 1 > 4999 then '>5k' when level - 1 > 999 then '>1k' when level - 1 > 499 then '>500' when level - 1 > 99 then '>100' when level - 1 > 49 then '>50' when level - 1 > 8 then '>10' else cast(level as varchar) end as slot from c)
 select slot, cast(count(*) as bigint) as n_sequences, cast(sum(level) as bigint) as n_reads from s group by slot""")
 def qc_dup(spark, sf_dir):
     return qc.duplication(reads(spark, sf_dir))
@@ -258,7 +261,7 @@ c as (select kmer, pos, count(*) as n from r where not contains(kmer, 'N') group
 d as (select *, sum(n) over (partition by kmer) as ok, sum(n) over (partition by pos) as op, sum(n) over () as al from c),
 e as (select kmer, ok, pos, round(cast(n * al as double) / (ok * op), 6) as x from d),
 f as (select *, row_number() over (partition by kmer order by x desc, pos) as r from e)
-select kmer, cast(ok as bigint) as n, x as obs_exp, cast(pos as integer) as at from f where r = 1 order by ok desc, x desc, kmer limit 20""")
+select kmer, cast(ok as bigint) as n, x as obs_exp, cast(pos as integer) as at from f where r = 1 order by x desc, kmer limit 20""")
 def qc_kmer(spark, sf_dir):
     return qc.kmer_content(reads(spark, sf_dir))
 
@@ -289,14 +292,29 @@ def kmer_count(spark, sf_dir):
     return kmers.kmer_counts(reads(spark, sf_dir), 7)
 
 
-_MINIMIZERS = """{name}_k as (select {key}, pos - 1 as pos, cast('0x' || substr(md5(kmer), 1, 8) as bigint) as hash from (select {key}, pos, substr(seq, pos, 7) as kmer from (select {key}, seq, unnest(generate_series(1, length(seq) - 6)) as pos from {table})) where not contains(kmer, 'N')),
-{name}_l as (select *, min(hash) over (partition by {key} order by pos range between 4 preceding and current row) as least from {name}_k),
-{name} as (select {key}, pos, hash from (select *, max(least) over (partition by {key} order by pos range between current row and 4 following) as kept from {name}_l) where hash <= kept)"""
+def _hash_sql(x: str, bits: int) -> str:
+    """hash64 in SQL."""
+    mask = (1 << bits) - 1
+    for step in ("(~{0} + ({0} << 21)) & {1}", "xor({0}, {0} >> 24)", "({0} + ({0} << 3) + ({0} << 8)) & {1}", "xor({0}, {0} >> 14)", "({0} + ({0} << 2) + ({0} << 4)) & {1}", "xor({0}, {0} >> 28)", "({0} + ({0} << 31)) & {1}"):
+        x = f"list_transform([{x}], lambda h: {step.format('h', mask)})[1]"
+    return x
+
+
+#: A k-mer as a number of two bits a base.
+_PACK = "list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split({0}, ''), lambda b: cast(strpos('ACGT', b) - 1 as bigint))), lambda x, y: x * 4 + y)"
+_MINIMIZERS = """{name}_b as (select {key}, seq, length(seq) as size, unnest(generate_series(1, length(seq))) as i from {table}),
+{name}_k as (select {key}, size, i, case when i >= 7 and not contains(substr(seq, i - 6, 7), 'N') then substr(seq, i - 6, 7) end as kmer from {name}_b),
+{name}_p as (select {key}, size, i, case when kmer is not null then """ + _PACK.format("kmer") + """ end as front, case when kmer is not null then """ + _PACK.format("translate(reverse(kmer), 'ACGT', 'TGCA')") + """ end as back from {name}_k),
+{name}_h as (select {key}, size, i, cast(back < front as integer) as strand, case when front is not null then """ + _hash_sql("least(front, back)", 14) + """ end as hash from {name}_p),
+{name}_l as (select *, min(hash) over v as low, case when count(hash) over v = 5 then min(hash) over v end as least from {name}_h window v as (partition by {key} order by i rows between 4 preceding and current row)),
+{name}_m as (select *, max(least) over (partition by {key} order by i rows between current row and 4 following) as kept, max(case when i = size then low end) over (partition by {key}) as final from {name}_l),
+{name}_f as (select *, row_number() over (partition by {key}, i > size - 5 and hash = final order by i desc) as place from {name}_m),
+{name} as (select {key}, i - 7 as pos, hash, strand from {name}_f where hash <= kept or (i > size - 5 and hash = final and place = 1))"""
 _QM = _MINIMIZERS.format(name="qm", key="read_id", table="reads")
 _TM = _MINIMIZERS.format(name="tm", key="tx_id", table="transcripts")
 
 
-@query(f"with {READS}, {_QM} select read_id, cast(pos as integer) as pos, hash from qm")
+@query(f"with {READS}, {_QM} select read_id, cast(pos as integer) as pos, hash, strand from qm")
 def minimizers(spark, sf_dir):
     return kmers.minimizers(reads(spark, sf_dir), 7, 5)
 
@@ -305,7 +323,7 @@ def _seeds(spark, sf_dir, most=None):
     return kmers.seeds(kmers.minimizers(reads(spark, sf_dir), 7, 5), kmers.minimizers(transcripts(spark, sf_dir), 7, 5, "tx_id"), most)
 
 
-@query(f"with {READS}, {TRANSCRIPTS}, {_QM}, {_TM}, rare as (select hash from tm group by hash having count(*) <= 50) select read_id, cast(qm.pos as integer) as q_pos, tx_id, cast(tm.pos as integer) as t_pos, hash from qm join tm using (hash) where hash in (select hash from rare)")
+@query(f"with {READS}, {TRANSCRIPTS}, {_QM}, {_TM}, rare as (select hash from tm group by hash having count(*) <= 50) select read_id, cast(qm.pos as integer) as q_pos, tx_id, cast(tm.pos as integer) as t_pos, hash, xor(qm.strand, tm.strand) as reversed from qm join tm using (hash) where hash in (select hash from rare)")
 def seed_join(spark, sf_dir):
     return _seeds(spark, sf_dir, 50)  # the cap that its SQL has
 
@@ -315,7 +333,7 @@ def seed_chains(spark, sf_dir):
     return kmers.chains(_seeds(spark, sf_dir), 7)
 
 
-@query()
+@query(f"with {READS}, r as (select distinct substr(seq, pos, 7) as kmer from (select seq, {_KMERS.format(k=7)} from reads)), p as (select kmer, {_PACK.format('kmer')} as x from r where not contains(kmer, 'N')) select kmer, {_hash_sql('x', 14)} as hash from p")
 def hash64_mix(spark, sf_dir):
     return kmers.kmer_counts(reads(spark, sf_dir), 7).select("kmer", kmers.hash64(kmers.packed(F.col("kmer")), 14).alias("hash"))
 
@@ -414,11 +432,11 @@ def barcode_umi(spark, sf_dir):
     return r.select(barcode.alias("barcode"), umi.alias("umi")).groupBy("barcode").agg(F.count("*").alias("n"), F.count_distinct("umi").alias("n_umi"))
 
 
-@query("""with s as (select s_name || '.fastr' as f, s_suppkey * 10 as b from supplier where s_suppkey % 3 <> 0), p as (select s_name || '.log' as f, s_acctbal as c, s_suppkey + 1 as m from supplier where s_suppkey % 4 <> 0)
+@query("""with s as (select s_name || '.enc' as f, s_suppkey * 10 as b from supplier where s_suppkey % 3 <> 0), p as (select s_name || '.log' as f, s_acctbal as c, s_suppkey + 1 as m from supplier where s_suppkey % 4 <> 0)
 select coalesce(a.k, d.k) as Method_Process, b as File_Size_Bytes, c as CPU_Time_Sec, m as Peak_Memory_KB from (select regexp_replace(f, '\\.[A-Za-z0-9]+$', '') as k, b from s) a full join (select regexp_replace(f, '\\.[A-Za-z0-9]+$', '') as k, c, m from p) d on a.k = d.k""")
 def result_merge_outer(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    sizes = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(".fastr")).alias("Filename"), (F.col("s_suppkey") * 10).alias("SizeBytes"))
+    sizes = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(".enc")).alias("Filename"), (F.col("s_suppkey") * 10).alias("SizeBytes"))
     perf = s.where("s_suppkey % 4 <> 0").select(F.concat("s_name", F.lit(".log")).alias("Filename"), F.col("s_acctbal").alias("Total_CPU_Sec"), (F.col("s_suppkey") + 1).alias("Peak_Mem_KB"))
     return etl.merge_results(sizes, perf)
 

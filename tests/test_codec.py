@@ -37,7 +37,7 @@ def test_encoded_files_round_trip(spark, tmp_path, mode):
     random.seed(mode)
     reads = [(i, f"@r{i} x", "".join(random.choice("ACGT") for _ in range(n)), "".join(chr(33 + random.randrange(63)) for _ in range(n))) for i, n in enumerate([1, 5, 40, 200])]
     df = spark.createDataFrame([*reads, (4, "@q", "AAAA", "(A@+")], "read_id long, header string, seq string, qual string")
-    path = str(tmp_path / "x.fastr")
+    path = str(tmp_path / "x.enc")
     fastq.write_encoded(df, path, mode)
     got = spark.read.format("encoded").load(path)
     if mode == 0:
@@ -82,6 +82,10 @@ def test_bins_and_layouts():
     for n in (76, 100, 151, 1000, 20000):
         b = qc.bins(n)
         assert b[0] == (1, 1) and b[-1][1] == n and all(x[1] + 1 == y[0] for x, y in zip(b, b[1:])) and len(b) <= 76
+    ends = lambda n: [b for _, b in qc.bins(n, exponential=True)]
+    assert ends(75) == list(range(1, 76)) and ends(100) == [*range(1, 10), *range(14, 100, 5), 100]
+    assert qc.bins(250, exponential=True)[17] == (50, 59)
+    assert qc.bins(301, exponential=True)[-1] == (300, 301) and qc.bins(2001, exponential=True)[-1] == (2000, 2001)
     assert chemistry.layout("10XV2") == [[(0, 0, 16)], [(0, 16, 26)], [(1, 0, 0)]]
     assert chemistry.layout("0,0,2:0,2,6:1,0,0") == [[(0, 0, 2)], [(0, 2, 6)], [(1, 0, 0)]]
 
