@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import reverse_complement
+from ..functions.scalars import pair_number
 
 
 def merge_results(sizes: DataFrame, perf: DataFrame) -> DataFrame:
@@ -62,3 +63,34 @@ def _step(s: Column, same: Column) -> Column:
     mis = F.when(same, s["mis"]).otherwise(F.lit(1))
     better = cur > s["best"]
     return F.struct(cur.alias("cur"), last.alias("last"), mis.alias("mis"), F.when(better, cur).otherwise(s["best"]).alias("best"), F.when(better, mis).otherwise(s["bm"]).alias("bm"))
+
+
+def mates(reads: DataFrame) -> DataFrame:
+    """(name, first, second): read_id of both reads of a pair, by the name before ``/1`` or ``/2``; reads without a mate are not there."""
+    pair = pair_number(F.col("header"))
+    named = reads.select(pair["header"].alias("name"), pair["pair"].alias("pair"), "read_id")
+    first, second = (named.where(F.col("pair") == i).select("name", F.col("read_id").alias(c)) for i, c in ((1, "first"), (2, "second")))
+    return first.join(second, "name")
+
+
+def file_format(name: Column) -> Column:
+    """What a file is read as, by its last suffix: sam, fast5, encoded or else fastq."""
+    low = F.lower(F.regexp_replace(name, r"\.(gz|bz2)$", ""))
+    return F.when(low.rlike(r"\.(bam|sam|ubam)$"), "sam").when(low.endswith(".fast5"), "fast5").when(low.endswith(".enc"), "encoded").otherwise("fastq")
+
+
+def with_run(reads: DataFrame, runs: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """``reads`` with the flowcell whose run (first_id, last_id) holds their read_id; a range join by blocks of read ids."""
+    spread = runs.select("flowcell", "first_id", "last_id", F.explode(F.sequence(F.floor(F.col("first_id") / block), F.floor(F.col("last_id") / block))).alias("block"))
+    joined = reads.withColumn("block", F.floor(F.col("read_id") / block)).join(spread, "block", "left")
+    inside = F.col("read_id").between(F.col("first_id"), F.col("last_id"))
+    return joined.where(inside | F.col("first_id").isNull()).drop("block", "first_id", "last_id")
+
+
+def write_sorted_csv(rows: DataFrame, path: str, *by: str) -> None:
+    rows.orderBy(*by).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def read_gene_map(spark, path: str) -> DataFrame:
+    """(tx, gene) from a tab-separated file; lines that begin with # and further columns are left out."""
+    return spark.read.csv(path, sep="\t", comment="#").select(F.col("_c0").alias("tx"), F.col("_c1").alias("gene"))

@@ -177,6 +177,61 @@ def bins(length: int, grouped: bool = True, exponential: bool = False) -> list[t
     return out
 
 
+def in_bins(positions: DataFrame, longest: DataFrame, exponential: bool = False) -> DataFrame:
+    """``positions (pos, ...)`` with the bin (low, high) of each, by the longest read: one row (last)."""
+    table = positions.sparkSession.createDataFrame(bins(longest.first()["last"] or 0, exponential=exponential) or [(1, 1)], "low int, high int")  # some hundred rows at most
+    return positions.join(F.broadcast(table), F.col("pos").between(F.col("low"), F.col("high")))
+
+
+def longest_read(reads: DataFrame) -> DataFrame:
+    return reads.agg(F.max(F.length("seq")).alias("last"))
+
+
+def binned_quality(reads: DataFrame, least: int = 100) -> DataFrame:
+    """(low, high, mean, median, p10, p25, p75, p90): means over the bin's positions; percentiles only of positions with over ``least`` reads."""
+    rows = in_bins(base_quality(reads, least), longest_read(reads))
+    return rows.groupBy("low", "high").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("mean", "median", "p10", "p25", "p75", "p90")])
+
+
+def binned_content(reads: DataFrame) -> DataFrame:
+    """(low, high, g, a, t, c, n): per cent of each base among A, C, G, T, and of all others among all, in a bin."""
+    h = in_bins(per_position(reads), longest_read(reads))
+    known = F.sum(F.when(F.col("base").isin("A", "C", "G", "T"), F.col("n")))
+    share = lambda of, whole: F.round(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) * 100.0 / whole, 6)
+    return h.groupBy("low", "high").agg(*[share(F.col("base") == b.upper(), known).alias(b) for b in "gatc"], share(~F.col("base").isin("A", "C", "G", "T"), F.sum("n")).alias("n"))
+
+
+def binned_adapters(reads: DataFrame) -> DataFrame:
+    """(adapter, low, high, percent): mean over a bin's positions of the per cent of reads with the adapter so far."""
+    total = reads.agg(F.count("*").alias("total"))
+    rows = in_bins(adapter_content(reads).crossJoin(F.broadcast(total)), longest_read(reads))  # one row
+    return rows.groupBy("adapter", "low", "high").agg(F.round(F.avg(F.col("n") * 100.0 / F.col("total")), 6).alias("percent"))
+
+
+def length_interval(least: int, most: int) -> tuple[int, int]:
+    """First value and width of the bins of lengths: 1, 2 or 5 times a power of ten that leaves 50 steps at most."""
+    width = next(m * 10**e for e in range(19) for m in (1, 2, 5) if (most - least) // (m * 10**e) <= 50)
+    return least // width * width, width
+
+
+def length_bins(reads: DataFrame) -> DataFrame:
+    """(low, high, n): reads by length, in bins from one below the least length to one above the greatest; empty ones are there."""
+    h = lengths(reads)
+    ends = h.agg(F.min("len").alias("least"), F.max("len").alias("most")).first()
+    least, most = max(0, (ends["least"] or 0) - 1), (ends["most"] or 0) + 1
+    first, width = length_interval(least, most)
+    grid = reads.sparkSession.range(first, most + 1, width).select(F.col("id").cast("int").alias("low"), F.least(F.col("id") + width - 1, F.lit(most)).cast("int").alias("high"))
+    found = h.groupBy((F.floor((F.col("len") - first) / width) * width + first).cast("int").alias("low")).agg(F.sum("n").alias("n"))
+    return grid.join(found, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def duplication_percent(reads: DataFrame, key_length: int = 50) -> DataFrame:
+    """(slot, percent): share of all reads whose sequence occurs as often as the slot says."""
+    d = duplication(reads, key_length)
+    total = d.agg(F.sum("n_reads").alias("total"))
+    return d.crossJoin(F.broadcast(total)).select("slot", F.round(F.col("n_reads") * 100.0 / F.col("total"), 6).alias("percent"))  # one row
+
+
 def verdict(value: Column, module: str, above: bool = True) -> Column:
     warn, fail = LIMITS[module]
     worse = (lambda x: value > x) if above else (lambda x: value < x)

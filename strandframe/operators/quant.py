@@ -46,26 +46,21 @@ def em_step(counts: DataFrame, alpha: DataFrame) -> DataFrame:
     return joined.groupBy("tx").agg(F.sum(F.when(F.col("all") > 0, F.col("n") * F.col("part") / F.col("all")).otherwise(0.0)).alias("alpha"))
 
 
-def em(spark: SparkSession, counts: DataFrame, lengths: DataFrame, least_steps: int = 50, most_steps: int = 10_000) -> DataFrame:
-    """(tx, alpha) at convergence; the classes, not the reads, come to the driver.
+def settle(sets: list[np.ndarray], n: np.ndarray, weight: np.ndarray, least_steps: int = 50, most_steps: int = 10_000) -> np.ndarray:
+    """Abundances at convergence from classes (places of their transcripts) and their counts.
 
-    Stops when no transcript of over 0.01 changes by over 1 %, after ``least_steps`` at least; what is below 1e-8 is 0.
+    Stops when none of over 0.01 changes by over 1 %, after ``least_steps`` at least; what is below 1e-8 is 0.
     """
-    rows = counts.collect()
-    eff = {r["tx"]: r["eff_length"] for r in lengths.collect()}
-    names = sorted(eff)
-    at = {t: i for i, t in enumerate(names)}
-    weight = np.array([1 / eff[t] for t in names])
-    sets = [np.array([at[t] for t in r["ec"]]) for r in rows]
-    n = np.array([r["n"] for r in rows], dtype=float)
-    alpha = np.full(len(names), 1 / max(1, len(names)))
-    final = False
+    alpha, final = np.full(len(weight), 1 / max(1, len(weight))), False
+    sizes = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    tx = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
+    alone = np.repeat(sizes == 1, sizes)
     for step in range(most_steps):
-        new = np.zeros_like(alpha)
-        for s, c in zip(sets, n, strict=True):
-            part = weight[s] * alpha[s] if len(s) > 1 else np.ones(1)
-            if part.sum() > 0:
-                new[s] += c * part / part.sum()
+        part = np.where(alone, 1.0, weight[tx] * alpha[tx])
+        whole = np.bincount(of, part, len(sets))[of]
+        share = np.divide(part, whole, out=np.zeros_like(part), where=whole > 0)
+        new = np.bincount(tx, n[of] * share, len(weight))
         moved = (new > 1e-2) & (np.abs(new - alpha) > 1e-2 * new)
         alpha = new
         if final:
@@ -73,6 +68,16 @@ def em(spark: SparkSession, counts: DataFrame, lengths: DataFrame, least_steps:
         if step > least_steps and not moved.any():
             alpha[alpha < 1e-8] = 0
             final = True
+    return alpha
+
+
+def em(spark: SparkSession, counts: DataFrame, lengths: DataFrame, least_steps: int = 50, most_steps: int = 10_000) -> DataFrame:
+    """(tx, alpha) at convergence (see ``settle``); the classes, not the reads, come to the driver."""
+    rows = counts.collect()
+    eff = {r["tx"]: r["eff_length"] for r in lengths.collect()}
+    names = sorted(eff)
+    at = {t: i for i, t in enumerate(names)}
+    alpha = settle([np.array([at[t] for t in r["ec"]]) for r in rows], np.array([r["n"] for r in rows], dtype=float), np.array([1 / eff[t] for t in names]), least_steps, most_steps)
     return spark.createDataFrame([(int(t), float(a)) for t, a in zip(names, alpha, strict=True)], "tx int, alpha double")
 
 
@@ -94,15 +99,7 @@ def bootstrap(spark: SparkSession, counts: DataFrame, lengths: DataFrame, n: int
         names = sorted(eff["tx"])
         at = {t: k for k, t in enumerate(names)}
         weight = 1 / eff.set_index("tx").loc[names, "eff_length"].to_numpy()
-        alpha = np.full(len(names), 1 / len(names))
-        for _ in range(100):
-            new = np.zeros_like(alpha)
-            for ec, c in zip(ecs["ec"], draw, strict=True):
-                s = [at[t] for t in ec]
-                part = weight[s] * alpha[s]
-                if part.sum() > 0:
-                    new[s] += c * part / part.sum()
-            alpha = new
+        alpha = settle([np.array([at[t] for t in ec]) for ec in ecs["ec"]], draw.astype(float), weight)
         return pd.DataFrame({"sample": i, "tx": names, "alpha": alpha})
 
     return spark.range(n).groupBy("id").applyInPandas(one, "sample long, tx int, alpha double")
@@ -110,3 +107,26 @@ def bootstrap(spark: SparkSession, counts: DataFrame, lengths: DataFrame, n: int
 
 def gene_sums(abundance: DataFrame, genes: DataFrame) -> DataFrame:
     return abundance.join(genes, "tx_id").groupBy("gene").agg(F.round(F.sum("est_counts"), 6).alias("est_counts"), F.round(F.sum("tpm"), 6).alias("tpm"))
+
+
+def pseudoalign_union(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(read_id, ec): transcripts that any indexed k-mer of the read is in."""
+    from .kmers import kmers_of
+
+    rows = reads.select("read_id", F.explode(kmers_of(F.col("seq"), k)).alias("kmer")).distinct().join(index, "kmer")
+    return rows.select("read_id", F.explode("txs").alias("tx")).distinct().groupBy("read_id").agg(F.array_sort(F.collect_list("tx")).alias("ec"))
+
+
+def fragment_lengths(lengths: DataFrame, most: int = 1000) -> DataFrame:
+    """(length, n, mean): counts of fragments by length under ``most``, and the mean of all up to that length."""
+    h = lengths.where((F.col("length") >= 0) & (F.col("length") < most)).groupBy("length").agg(F.count("*").alias("n"))
+    up = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, 0)  # ``most`` rows
+    return h.select("length", "n", F.round(F.sum(F.col("n") * F.col("length")).over(up) / F.sum("n").over(up), 6).alias("mean"))
+
+
+def abundance_lines(abundance: DataFrame) -> DataFrame:
+    """(place, line) of the tab-separated abundance table, its header first: target_id, length, eff_length, est_counts, tpm."""
+    spark = abundance.sparkSession
+    head = spark.createDataFrame([(-1, "target_id\tlength\teff_length\test_counts\ttpm")], "place long, line string")
+    number = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    return head.union(abundance.select(F.col("tx_id").cast("long"), F.concat_ws("\t", F.col("tx_id").cast("string"), F.col("length").cast("string"), number("eff_length"), number("est_counts"), number("tpm"))))

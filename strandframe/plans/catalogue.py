@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chemistry, codec, headers
+from ..functions import chemistry, codec, headers, scalars
 from ..operators import etl, kmers, qc, quant
 from .reads import BASES, READS, TRANSCRIPTS, reads, transcripts
 
@@ -115,7 +115,9 @@ def inverse_lut(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(codec.inverse_lut(LUT))), "v int, q int")
 
 
-@query()
+@query("""with k(v, q) as (values (2, 1), (8, 10), (50, 40)), g as (select cast(range as integer) as v from range(64)),
+p as (select g.v, max(a.v) as v0, max(a.q) as q0 from g left join k a on a.v <= g.v group by g.v), n as (select g.v, min(b.v) as v1, min(b.q) as q1 from g left join k b on b.v >= g.v group by g.v)
+select v, cast(least(93, floor(case when v0 is null then q1 when v1 is null or v0 = v1 then q0 else q0 + (q1 - q0) * (v - v0) / cast(v1 - v0 as double) end + 0.5)) as integer) as q from p join n using (v)""")
 def inverse_lut_interp(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(codec.interpolated_lut([(1, 2), (10, 8), (40, 50)]))), "v int, q int")
 
@@ -266,7 +268,16 @@ def qc_kmer(spark, sf_dir):
     return qc.kmer_content(reads(spark, sf_dir))
 
 
-@query()
+_VERDICT = "select '{0}' as module, cast(v as double) as value, case when v {1} {3} then 'fail' when v {1} {2} then 'warn' else 'pass' end as verdict from {0}"
+
+
+@query(f"""with {BASES}, p as (select pos, count(*) as n, sum(cast(base in ('A', 'C', 'G', 'T') as integer)) as k, sum(cast(base = 'A' as integer)) as a, sum(cast(base = 'C' as integer)) as c, sum(cast(base = 'G' as integer)) as g, sum(cast(base = 'T' as integer)) as t from bases group by pos),
+r as (select n, k, round(a * 100.0::double / k, 6) as a, round(c * 100.0::double / k, 6) as c, round(g * 100.0::double / k, 6) as g, round(t * 100.0::double / k, 6) as t from p),
+base_content as (select max(greatest(abs(g - c), abs(a - t))) as v from r), n_content as (select max(round((n - k) * 100.0::double / n, 6)) as v from r),
+s as (select count(*) as n from reads group by seq), duplication as (select round(count(*) * 100.0::double / sum(n), 6) as v from s), overrepresented as (select round(max(n) * 100.0::double / sum(n), 6) as v from s),
+m as (select q, count(*) as n from (select cast(floor(sum(ascii(ch)) / count(*)) as integer) - 33 as q from bases group by read_id) group by q), sequence_quality as (select q as v from m order by n desc, q limit 1)
+""" + " union all ".join(_VERDICT.format(name, ">" if above else "<", *qc.LIMITS[limit]) for name, limit, above in (
+    ("base_content", "sequence", True), ("n_content", "n_content", True), ("duplication", "duplication", False), ("overrepresented", "overrepresented", True), ("sequence_quality", "quality_sequence", False))))
 def qc_verdicts(spark, sf_dir):
     return qc.verdicts(reads(spark, sf_dir))
 
@@ -466,3 +477,140 @@ def contaminant_match(spark, sf_dir):
 def format_lengths(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * F.col("c_custkey") * 37).alias("n"))
     return c.select("id", qc.format_length(F.col("n")).alias("formatted"))
+
+
+@query(f"with {BASES} select q, cast(count(*) as bigint) as n, round(1 + 62 * ln(q + 1) / ln(63), 6) as curve, round(sqrt(abs(q - 20)) + exp(-q / 10.0) * power(q, 2) - 3 / (1 + log10(q + 1)), 6) as other, round(power(10.0, -q / 10.0), 9) as probability, q as phred from bases group by q")
+def quality_formula(spark, sf_dir):
+    q = reads(spark, sf_dir).select(F.explode(F.split("qual", "")).alias("ch")).where("ch <> ''").groupBy((F.ascii("ch") - 33).alias("q")).agg(F.count("*").alias("n"))
+    p = scalars.phred_to_probability(F.col("q"))
+    return q.select("q", "n", F.round(scalars.formula(scalars.LOG_CURVE, F.col("q")), 6).alias("curve"), F.round(scalars.formula("sqrt(abs(x - 20)) + exp(-x / 10) * x^2 - 3 / (1 + log10(x + 1))", F.col("q")), 6).alias("other"),
+                    F.round(p, 9).alias("probability"), scalars.probability_to_phred(p).alias("phred"))
+
+
+@query(f"""with {READS}, h as (select read_id, seq, replace(header, '1:N:', case when read_id % 5 = 0 then '1:Y:' else '1:N:' end) || case when read_id % 3 > 0 then '/' || read_id % 3 else '' end as header from reads)
+select read_id, header || ' length=' || length(seq) as whole, case when read_id % 3 > 0 then substr(header, 1, length(header) - 2) else header end as plain, cast(case when read_id % 3 > 0 then read_id % 3 end as integer) as pair, read_id % 5 = 0 as is_filtered from h""")
+def header_fields(spark, sf_dir):
+    r = F.col("read_id")
+    header = F.concat(F.replace(F.col("header"), F.lit("1:N:"), F.when(r % 5 == 0, F.lit("1:Y:")).otherwise(F.lit("1:N:"))), F.when(r % 3 > 0, F.concat(F.lit("/"), (r % 3).cast("string"))).otherwise(F.lit("")))
+    h = reads(spark, sf_dir).select("read_id", "seq", header.alias("header"))
+    pair = scalars.pair_number(F.col("header"))
+    return h.select("read_id", scalars.with_length(F.col("header"), F.col("seq")).alias("whole"), pair["header"].alias("plain"), pair["pair"].alias("pair"), scalars.flagged(F.col("header")).alias("is_filtered"))
+
+
+@query(f"""with {READS}, c as (select read_id, translate(seq, 'ACGTN', '0123.') as digits from reads), d as (select read_id, digits, unnest(generate_series(1, length(digits))) as i from c),
+x as (select read_id, i, substr(digits, i, 1) as s from d), y as (select *, sum(cast(s = '.' as integer)) over w as bad, 3 + sum(case when s in ('1', '3') then 1 else 0 end) over w as low, 3 + sum(case when s in ('2', '3') then 1 else 0 end) over w as high from x window w as (partition by read_id order by i))
+select read_id, string_agg(case when bad > 0 then 'N' else substr('ACGT', cast(1 + low % 2 + 2 * (high % 2) as integer), 1) end, '' order by i) as seq from y group by read_id""")
+def colour_space(spark, sf_dir):
+    colours = F.concat(F.lit("T"), F.translate("seq", "ACGTN", "0123."))
+    return reads(spark, sf_dir).select("read_id", scalars.colour_bases(colours).alias("seq"))
+
+
+@query(f"with {READS}, r as (select distinct substr(seq, pos, 7) as kmer from (select seq, {_KMERS.format(k=7)} from reads)), p as (select kmer, {_PACK.format('kmer')} as number from r where not contains(kmer, 'N')) select kmer, number, kmer as again from p")
+def kmer_packing(spark, sf_dir):
+    number = kmers.packed(F.col("kmer"))
+    return kmers.kmer_counts(reads(spark, sf_dir), 7).select("kmer", number.alias("number"), kmers.unpacked(number, 7).alias("again"))
+
+
+@query(f"with {READS}, m as (select length(seq) as n, sum(ascii(ch)) / cast(length(seq) as double) as q from (select read_id, seq, unnest(string_split(qual, '')) as ch from reads) group by read_id, seq) select round(corr(n, q), 6) as r from m")
+def length_quality_correlation(spark, sf_dir):
+    total = F.aggregate(F.filter(F.split("qual", ""), lambda c: c != ""), F.lit(0), lambda s, c: s + F.ascii(c))
+    return reads(spark, sf_dir).agg(F.round(F.corr(F.length("seq").cast("double"), total / F.length("qual").cast("double")), 6).alias("r"))
+
+
+def _long(spark, sf_dir):
+    """Transcripts as reads of 96 bases, every fifth cut to 81."""
+    seq = F.when(F.col("tx_id") % 5 == 0, F.substring("seq", 1, 81)).otherwise(F.col("seq"))
+    return transcripts(spark, sf_dir).select(F.col("tx_id").alias("read_id"), seq.alias("seq")).withColumn("qual", F.translate("seq", "ACGTN", "5?IA#"))
+
+
+_LONG = TRANSCRIPTS + """, reads as (select tx_id as read_id, case when tx_id % 5 = 0 then substr(seq, 1, 81) else seq end as seq from transcripts),
+bases as (select read_id, pos, substr(seq, pos, 1) as base, ascii(translate(substr(seq, pos, 1), 'ACGTN', '5?IA#')) - 33 as q, case when pos < 10 then pos else 10 + (pos - 10) // 2 * 2 end as low, case when pos < 10 then pos else least(11 + (pos - 10) // 2 * 2, 96) end as high
+  from (select *, unnest(generate_series(1, length(seq))) as pos from reads))"""
+
+
+@query(f"""with {_LONG} select cast(low as integer) as low, cast(high as integer) as high, {", ".join(f"round(sum(cast(base = '{b}' as integer)) * 100.0::double / sum(cast(base <> 'N' as integer)), 6) as {b.lower()}" for b in "GATC")}, round(sum(cast(base = 'N' as integer)) * 100.0::double / count(*), 6) as n from bases group by all""")
+def qc_binned_content(spark, sf_dir):
+    return qc.binned_content(_long(spark, sf_dir))
+
+
+@query(f"""with {_LONG}, h as (select pos, low, high, q, count(*) as n from bases group by all), c as (select *, sum(n) over (partition by pos order by q) as cum, sum(n) over (partition by pos) as tot from h),
+p as (select pos, low, high, sum(q * n) / cast(sum(n) as double) as mean, {", ".join(f"case when max(tot) > 100 then min(case when cum >= tot * {p} // 100 then q end) end as {n}" for p, n in ((50, "median"), (10, "p10"), (25, "p25"), (75, "p75"), (90, "p90")))} from c group by all)
+select cast(low as integer) as low, cast(high as integer) as high, {", ".join(f"round(avg({c}), 6) as {c}" for c in ("mean", "median", "p10", "p25", "p75", "p90"))} from p group by all""")
+def qc_binned_quality(spark, sf_dir):
+    return qc.binned_quality(_long(spark, sf_dir))
+
+
+@query(f"""with {_LONG}, l as (select len, count(*) as n from (select length(seq) as len from reads) group by len), g as (select cast(unnest(generate_series(80, 97)) as integer) as low)
+select low, low as high, cast(coalesce(n, 0) as bigint) as n from g left join l on len = low""")
+def qc_length_bins(spark, sf_dir):
+    return qc.length_bins(_long(spark, sf_dir))
+
+
+@query(f"""with {READS}, c as (select count(*) as level from reads group by substr(seq, 1, 50)),
+s as (select level, case when level > 10000 then '>10k' when level > 5000 then '>5k' when level > 1000 then '>1k' when level > 500 then '>500' when level > 100 then '>100' when level > 50 then '>50' when level > 9 then '>10' else cast(level as varchar) end as slot from c)
+select slot, round(sum(level) * 100.0::double / (select sum(level) from c), 6) as percent from s group by slot""")
+def qc_dup_percent(spark, sf_dir):
+    return qc.duplication_percent(reads(spark, sf_dir))
+
+
+_MATED = f"""{READS}, h as (select read_id, 'p' || read_id // 2 || case when read_id % 11 > 0 then '/' || (1 + read_id % 2) else '' end as header from reads)"""
+
+
+@query(f"with {_MATED} select substr(a.header, 1, length(a.header) - 2) as name, a.read_id as first, b.read_id as second from h a join h b on ends_with(a.header, '/1') and ends_with(b.header, '/2') and substr(a.header, 1, length(a.header) - 2) = substr(b.header, 1, length(b.header) - 2)")
+def mate_pairs(spark, sf_dir):
+    r = F.col("read_id")
+    header = F.concat(F.lit("p"), F.floor(r / 2).cast("string"), F.when(r % 11 > 0, F.concat(F.lit("/"), (1 + r % 2).cast("string"))).otherwise(""))
+    return etl.mates(reads(spark, sf_dir).select("read_id", header.alias("header")))
+
+
+@query(f"with {READS}, l as (select cast(100 + length(seq) * 7 + read_id % 13 as integer) as length from reads), h as (select length, count(*) as n from l group by length) select length, cast(n as bigint) as n, round(sum(n * length) over w / cast(sum(n) over w as double), 6) as mean from h window w as (order by length)")
+def fragment_lengths(spark, sf_dir):
+    return quant.fragment_lengths(reads(spark, sf_dir).select((100 + F.length("seq") * 7 + F.col("read_id") % 13).cast("int").alias("length")))
+
+
+@query(f"with {_EC} select read_id, string_agg(cast(tx_id as varchar), ',' order by tx_id) as ec from hits group by read_id")
+def ec_union(spark, sf_dir):
+    index = quant.kmer_index(transcripts(spark, sf_dir), 11)
+    return quant.pseudoalign_union(reads(spark, sf_dir), index, 11).select("read_id", F.array_join("ec", ",").alias("ec"))
+
+
+@query("select cast(-1 as bigint) as place, 'target_id' || chr(9) || 'length' || chr(9) || 'eff_length' || chr(9) || 'est_counts' || chr(9) || 'tpm' as line union all select p_partkey, concat_ws(chr(9), p_partkey, 96, printf('%.4f', 81.0::double), printf('%.4f', p_size * 1.0::double), printf('%.4f', p_size / 4.0::double)) from part")
+def abundance_table(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return quant.abundance_lines(part.select(F.col("p_partkey").alias("tx_id"), F.lit(96).alias("length"), F.lit(81.0).alias("eff_length"), F.col("p_size").alias("est_counts"), (F.col("p_size") / 4).alias("tpm")))
+
+
+@query("""with f as (select s_suppkey, 'x' || s_suppkey || case s_suppkey % 6 when 0 then '.fastq.gz' when 1 then '.BAM' when 2 then '.sam' when 3 then '.fast5' when 4 then '.enc' else '.fq' end as name from supplier)
+select name, case s_suppkey % 6 when 1 then 'sam' when 2 then 'sam' when 3 then 'fast5' when 4 then 'encoded' else 'fastq' end as format from f""")
+def file_formats(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    suffix = F.element_at(F.array(*map(F.lit, (".fastq.gz", ".BAM", ".sam", ".fast5", ".enc", ".fq"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    named = s.select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string"), suffix).alias("name"))
+    return named.select("name", etl.file_format(F.col("name")).alias("format"))
+
+
+@query(f"with {READS} select read_id, 'FC' || (read_id // 100 % 3) as flowcell from reads")
+def reads_by_run(spark, sf_dir):
+    r = reads(spark, sf_dir).select("read_id")
+    runs = headers.flowcell_runs(r.withColumn("flowcell", F.concat(F.lit("FC"), (F.floor(F.col("read_id") / 100) % 3).cast("string"))), 1000)
+    return etl.with_run(r, runs, 1000)
+
+
+@query(f"with {READS}, {TRANSCRIPTS}, r as (select distinct substr(seq, pos, 7) as kmer from (select seq, {_KMERS.format(k=7)} from reads)), t as (select distinct substr(seq, pos, 7) as kmer from (select seq, {_KMERS.format(k=7)} from transcripts)) select kmer from r where not contains(kmer, 'N') except select kmer from t")
+def kmers_absent(spark, sf_dir):
+    """k-mers of reads that no transcript has: those of a list of distinguishing k-mers."""
+    return kmers.kmer_counts(reads(spark, sf_dir), 7).select("kmer").exceptAll(kmers.kmer_counts(transcripts(spark, sf_dir), 7).select("kmer"))
+
+
+@query(f"with {READS}, {TRANSCRIPTS}, t as (select distinct substr(seq, pos, 11) as kmer from (select seq, {_KMERS.format(k=11)} from transcripts)), k as (select read_id, substr(seq, pos, 11) as kmer from (select read_id, seq, {_KMERS.format(k=11)} from reads)) select read_id from reads where read_id not in (select read_id from k join t using (kmer))")
+def reads_unmapped(spark, sf_dir):
+    rows = reads(spark, sf_dir).select("read_id", F.explode(kmers.kmers_of(F.col("seq"), 11)).alias("kmer"))
+    mapped = rows.join(quant.kmer_index(transcripts(spark, sf_dir), 11).select("kmer"), "kmer", "left_semi").select("read_id")
+    return reads(spark, sf_dir).select("read_id").join(mapped, "read_id", "left_anti")
+
+
+@query(f"with {BASES}, f as (select * from bases where read_id % 5 > 0), m as (select cast(floor(sum(ascii(ch)) / count(*)) as integer) - 33 as quality from f group by read_id) select quality, cast(count(*) as bigint) as n from m group by quality")
+def qc_unfiltered(spark, sf_dir):
+    """Quality of sequences without those that their header flags."""
+    flag = F.replace(F.col("header"), F.lit("1:N:"), F.when(F.col("read_id") % 5 == 0, F.lit("1:Y:")).otherwise(F.lit("1:N:")))
+    return qc.sequence_quality(reads(spark, sf_dir).withColumn("header", flag).where(~scalars.flagged(F.col("header"))))

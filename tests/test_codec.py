@@ -96,3 +96,41 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "@a", "ACGT", "IIII")], "read_id long, header string, seq string, qual string").write.parquet(str(tmp_path / "in"))
     encode_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert bytes(spark.read.parquet(str(tmp_path / "out")).first().codes) == bytes([43, 106, 169, 232])
+
+
+def test_formulas(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.functions import scalars
+
+    one = spark.range(1)
+    value = lambda text, x: one.select(scalars.formula(text, F.lit(x)).alias("y")).first().y
+    assert value("f(x)= -x^2 + 2*3", 3) == -3 and value("2**3**2 / (x - 1)", 3) == 256 and abs(value("exp(ln(x)) + log10(100)", 5) - 7) < 1e-12
+    for bad in ("x; drop", "__import__(x)", "x +", "(x", "y", "sin(x)", "x x"):
+        with pytest.raises(ValueError):
+            scalars.formula(bad, F.lit(1))
+
+
+def test_length_intervals():
+    assert qc.length_interval(0, 50) == (0, 1) and qc.length_interval(99, 251) == (95, 5) and qc.length_interval(0, 20_001) == (0, 500)
+
+
+def test_gene_map_and_sorted_csv(spark, tmp_path):
+    from strandframe.operators import etl
+
+    (tmp_path / "map.tsv").write_text("#tx\tgene\nt1\tg1\textra\nt2\tg1\n")
+    found = etl.read_gene_map(spark, str(tmp_path / "map.tsv"))
+    assert sorted(map(tuple, found.collect())) == [("t1", "g1"), ("t2", "g1")]
+    etl.write_sorted_csv(found, str(tmp_path / "out"), "tx")
+    assert spark.read.csv(str(tmp_path / "out"), header=True).collect()[0].tx == "t1"
+
+
+def test_bootstrap_settles(spark):
+    from strandframe.operators import quant
+
+    counts = spark.createDataFrame([([1], 60), ([1, 2], 40), ([2, 3], 10)], "ec array<int>, n long")
+    lengths = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 5.0)], "tx int, eff_length double")
+    whole = {r.tx: r.alpha for r in quant.em(spark, counts, lengths).collect()}
+    assert abs(sum(whole.values()) - 110) < 1e-6
+    samples = quant.bootstrap(spark, counts, lengths, 5).groupBy("sample").sum("alpha").collect()
+    assert len(samples) == 5 and all(abs(r[1] - 110) < 1e-6 for r in samples)
