@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry, codec, headers, scalars
 from ..operators import etl, kmers, qc, quant
-from .reads import BASES, READS, TRANSCRIPTS, reads, transcripts
+from ..sources import fastq
+from .reads import BASES, READS, TRANSCRIPTS, reads, scratch, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -614,3 +615,31 @@ def qc_unfiltered(spark, sf_dir):
     """Quality of sequences without those that their header flags."""
     flag = F.replace(F.col("header"), F.lit("1:N:"), F.when(F.col("read_id") % 5 == 0, F.lit("1:Y:")).otherwise(F.lit("1:N:")))
     return qc.sequence_quality(reads(spark, sf_dir).withColumn("header", flag).where(~scalars.flagged(F.col("header"))))
+
+
+def _files(spark, sf_dir, mode, coding=codec.Coding(), lut=None):
+    """Reads, written as encoded files of a mode and read back; qualities up to 62 come back as they were."""
+    fastq.register(spark)
+    path = scratch(spark, f"encoded-{mode}")
+    fastq.write_encoded(reads(spark, sf_dir), path, mode, coding, "illumina", files=4)
+    return fastq.decoded(spark.read.format("encoded").load(path), lut=lut)
+
+
+@query(f"with {READS}, n as (select *, row_number() over (order by read_id) - 1 as place from reads) select cast(place as bigint) as read_id, header, seq, qual from n")
+def encoded_files_0(spark, sf_dir):
+    return _files(spark, sf_dir, 0)
+
+
+@query(f"with {BASES}, n as (select read_id, row_number() over (order by read_id) - 1 as place from reads) select cast(place as bigint) as read_id, any_value(header) as header, string_agg(case when base in ('A', 'C', 'G', 'T') then base else 'N' end, '' order by pos) as seq from bases join n using (read_id) group by place")
+def encoded_files_1(spark, sf_dir):
+    return _files(spark, sf_dir, 1).select("read_id", "header", "seq")
+
+
+@query(SQL["encoded_files_1"])
+def encoded_files_2(spark, sf_dir):
+    return _files(spark, sf_dir, 2).select("read_id", "header", "seq")
+
+
+@query(SQL["encoded_files_1"])
+def encoded_files_3(spark, sf_dir):
+    return _files(spark, sf_dir, 3).select("read_id", "header", "seq")

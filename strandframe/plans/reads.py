@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +49,14 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRANSCRIPTS = f"transcripts as (select p_partkey as tx_id, translate(md5('s' || p_partkey % 997) || md5('a' || p_partkey % 997) || md5('b' || p_partkey % 997), '{HEX}', 'ACGTACGTACGTACGN') as seq, p_brand as gene from part)"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="strandframe-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,16 +6,22 @@ import bz2
 import glob
 import gzip
 import os
+import re
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.codec import BASES, CODES, Coding, encode_frame
+from ..functions import headers
+from ..functions.codec import BASES, CODES, Coding, encode_frame, inverse_lut
 
 READS = "read_id long, header string, seq string, qual string, file string"
-ENCODED = "read_id long, header string, codes binary, file string"
+ENCODED = "read_id long, header string, codes binary, file string, mode int, gray array<int>, structure string, second_head boolean"
 
 
 class Span(InputPartition):
@@ -173,17 +179,46 @@ def encoded_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
             yield h, s + b"\n" + q
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path: any that pyarrow knows by its scheme, else this machine's."""
+    return pafs.FileSystem.from_uri(uri) if re.match(r"[A-Za-z][\w+.-]*:", uri) else (pafs.LocalFileSystem(), uri)
+
+
+_ORDINAL = re.compile(r"-(\d+)\.enc$")
+
+
 class _EncodedReader(DataSourceReader):
+    """A partition per file; the files of a folder that ``write_encoded`` wrote have their first read number in their name."""
+
     def __init__(self, options: dict[str, str]):
-        self.paths = sorted(glob.glob(options["path"] + "/*") if os.path.isdir(options["path"]) else glob.glob(options["path"]))
+        self.path = options["path"]
 
     def partitions(self) -> list[Span]:
-        return [Span(p, 0, -1, i << 40) for i, p in enumerate(self.paths)]
+        fs, path = store(self.path)
+        folder = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            found = [x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.File]
+        else:
+            found = glob.glob(path) if isinstance(fs, pafs.LocalFileSystem) else [path]
+        found = sorted(x for x in found if not x.endswith("_headers.txt") and not os.path.basename(x).startswith(("_", ".")))
+        return [Span(folder + p, 0, -1, int(m[1]) if (m := _ORDINAL.search(p)) else i << 40) for i, p in enumerate(found)]
 
     def read(self, part: Span) -> Iterator[tuple]:
-        with opened(part.path) as f:
-            for i, (h, c) in enumerate(encoded_records(f.read())):
-                yield part.first + i, h.decode("latin-1"), c, part.path
+        fs, path = store(part.path)
+        with fs.open_input_stream(path) as f:
+            data = f.read()
+        fields, _ = read_preamble(data)
+        mode = int(fields.get("MODE") or 2)
+        heads: list[bytes] = []
+        if mode == 3 and fs.get_file_info(f"{path}_headers.txt").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{path}_headers.txt") as f:
+                heads = f.read().split(b"\n")
+        gray = [int(x) for x in (fields.get("GRAY_VALS") or ",".join(map(str, CODES))).split(",")]
+        accession = fields.get("ACCESSION") or fields.get("SRA")
+        for i, (h, c) in enumerate(encoded_records(data)):
+            if mode == 3:  # the side-car's line, else a number after the accession, else after seq
+                h = heads[i] if i < len(heads) and heads[i] else f"@{accession}.{part.first + i}".encode() if accession else f"@seq{part.first + i}".encode()
+            yield part.first + i, h.decode("latin-1"), c, part.path, mode, gray, fields.get("STRUCTURE", ""), fields.get("SECOND_HEAD") == "y"
 
 
 class EncodedSource(DataSource):
@@ -205,40 +240,116 @@ def register(spark) -> None:
     spark.dataSource.register(EncodedSource)
 
 
-def write_encoded(reads: DataFrame, path: str, mode: int = 2, coding: Coding = Coding()) -> None:
-    """Write one encoded file (a folder's part files would not be read by other tools); rows stream to the driver in order.
+# The preamble fields that the common groups of a layout fill.
+_FILLS = {"illumina": {"INSTRUMENT": 1, "RUN-NUMBER": 2, "FLOW-CELL": 3}, "old_illumina": {"INSTRUMENT": 1}, "sra": {"ACCESSION": 1}, "ont_sra": {"ACCESSION": 1}, "pacbio_hifi": {"movie": 1}, "pacbio_subread": {"movie": 1},
+          "pacbio_clr": {"movie": 1}, "illumina_sra": {"ACCESSION": 1, "INSTRUMENT": 3, "RUN-NUMBER": 4, "FLOW-CELL": 5}, "pacbio_hifi_sra": {"ACCESSION": 1, "movie": 3}, "pacbio_clr_sra": {"ACCESSION": 1, "movie": 3}}
+
+
+def vendor_fields(header: str, vendor: str) -> dict[str, str]:
+    """Preamble fields of a file from one of its headers; a movie's name is an instrument, a date and a time."""
+    m = re.match(headers.VENDORS[vendor].pattern, header.removeprefix("@"))
+    found = {k: m[i] for k, i in _FILLS.get(vendor, {}).items()} if m else {}
+    movie = found.pop("movie", "").split("_")
+    if movie[0]:
+        found["INSTRUMENT"] = movie[0]
+        found |= {k: x for k, x in zip(("RUN-DATE(YYYYMMDD)", "RUN-START-TIME"), movie[1:], strict=False) if len(x) == 6}
+    return found | {"SEQ-TYPE": vendor}
+
+
+def _writing(folder: str, mode: int, first_lines: bytes):
+    """A file per task, under another name first, so lost or repeated tasks leave no half file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = store(folder)
+        fs.create_dir(path, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
+        own, name = f"{path}/_writing-{uuid.uuid4().hex}", f"{path}/_part-{part:06d}"
+        heads = fs.open_output_stream(f"{own}_headers.txt") if mode == 3 else None
+        with fs.open_output_stream(own) as out:
+            out.write(first_lines)
+            for batch in batches:
+                for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    h = (h or "").encode("latin-1", "replace") + b"\n"
+                    if heads:
+                        heads.write(h)
+                    out.write(c + b"\n" if heads else h + c + b"\n")
+                    n += 1
+        if heads:
+            heads.close()
+            fs.move(f"{own}_headers.txt", f"{name}_headers.txt")
+        fs.move(own, name)
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n]}, pa.schema([("part", pa.int32()), ("n", pa.int64())]))
+
+    return run
+
 
-    mode 0: headers, bases and qualities; 1 and 2: headers and numbers; 3: numbers, with headers in <path>_headers.txt.
+def write_encoded(reads: DataFrame, path: str, mode: int = 2, coding: Coding = Coding(), vendor: str | None = None, second_head: bool = False, files: int | None = None) -> int:
+    """Write ``reads`` as a folder of encoded files, in order of read_id, by executors; returns the number of reads.
+
+    mode 0: headers, bases and qualities; 1: headers and numbers; 2: as 1, and if ``vendor`` is given and all headers are
+    of one structure of it and rebuild exactly, only the parts of headers that vary, with STRUCTURE in the preamble; 3:
+    numbers, with headers in <file>_headers.txt. A file is named after its first read's place.
     """
-    with open(path, "wb") as out, open(f"{path}_headers.txt" if mode == 3 else os.devnull, "wb") as heads:
-        out.write(preamble(mode, coding))
-        rows = reads.orderBy("read_id")
-        if mode == 0:
-            for r in rows.select("header", "seq", "qual").toLocalIterator():
-                out.write(f"{r.header}\n{r.seq}\n+\n{r.qual}\n".encode("latin-1", "replace"))
-            return
-        for r in encode_frame(rows.select("header", "seq", "qual"), coding).toLocalIterator():
-            if mode == 3:
-                heads.write(f"{r.header}\n".encode())
-                out.write(bytes(r.codes) + b"\n")
-            else:
-                out.write(r.header.encode() + b"\n" + bytes(r.codes) + b"\n")
+    rows, fields = reads, {"SECOND_HEAD": "y" if second_head else ""}
+    if vendor:
+        if first := reads.where("header is not null").first():
+            fields |= vendor_fields(first["header"], vendor)
+        if mode == 2:
+            made = headers.compressed(reads, vendor)
+            same = made.agg(F.min("structure").alias("a"), F.max("structure").alias("b"), F.min(F.col("exact") & ~F.exists("parts", lambda p: p.contains(":") | p.contains("/"))).alias("exact")).first()
+            if same["exact"] and same["a"] == same["b"]:
+                rows = made.withColumn("header", F.concat(F.lit("@"), F.array_join("parts", ":")))
+                fields["STRUCTURE"] = same["a"]
+    dealt = rows.select("read_id", "header", "seq", "qual")
+    dealt = dealt.repartitionByRange(files, "read_id") if files else dealt.repartitionByRange("read_id")
+    dealt = dealt.sortWithinPartitions("read_id").select("header", "seq", "qual")
+    if mode == 0:
+        dealt = dealt.select("header", F.encode(F.concat_ws("\n", "seq", F.lit("+"), "qual"), "ISO-8859-1").alias("codes"))
+    else:
+        dealt = encode_frame(dealt, coding)
+    counts = sorted((r["part"], r["n"]) for r in dealt.mapInArrow(_writing(path, mode, preamble(mode, coding, **fields)), "part int, n long").collect())  # a row per file
+    fs, folder = store(path)
+    at = 0
+    for part, n in counts:
+        for end in ("", "_headers.txt") if mode == 3 else ("",):
+            fs.move(f"{folder}/_part-{part:06d}", f"{folder}/reads-{at:012d}.enc") if not end else fs.move(f"{folder}/_part-{part:06d}{end}", f"{folder}/reads-{at:012d}.enc{end}")
+        at += n
+    return at
+
 
+def decoded(encoded: DataFrame, codes: tuple[int, ...] | None = None, lut: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
+    """(read_id, header, seq, qual) of encoded rows, by each file's own codes and structure: byte translation tables on whole values.
 
-def decoded(encoded: DataFrame, codes: tuple[int, ...] = CODES) -> DataFrame:
-    """(read_id, header, seq, qual) of encoded rows: byte translation tables on whole values."""
-    import pyarrow as pa
+    codes: in place of the file's; lut: the quality table of a custom coding.
+    """
+    back = inverse_lut(lut) if lut else list(range(64))
 
-    low = [max(c for c in codes if c <= (10 if v == 255 else v)) if (10 if v == 255 else v) >= codes[0] else codes[0] for v in range(256)]
-    seq_of = bytes(ord(BASES[codes.index(x)]) for x in low)
-    qual_of = bytes(33 + min(62, (10 if v == 255 else v) - x) for v, x in enumerate(low))
+    def tables(gray: tuple[int, ...]) -> tuple[bytes, bytes]:
+        value = [10 if v == 255 else v for v in range(256)]
+        low = [max((c for c in gray if c <= v), default=gray[0]) for v in value]
+        return bytes(ord(BASES[gray.index(x)]) for x in low), bytes(33 + min(93, back[min(63 if lut else 62, max(0, v - x))]) for v, x in zip(value, low, strict=True))
 
     def run(batches):
+        known: dict[tuple[int, ...], tuple[bytes, bytes]] = {}
         for b in batches:
-            values = [x or b"" for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.translate(seq_of).decode() for x in values]), pa.array([x.translate(qual_of).decode() for x in values])], ["read_id", "header", "seq", "qual"])
-
-    return encoded.select("read_id", "header", "codes").mapInArrow(run, "read_id long, header string, seq string, qual string")
+            seqs, quals = [], []
+            for x, gray, mode in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if mode == 0:
+                    seq, _, qual = (x or b"").partition(b"\n")
+                else:
+                    gray = tuple(codes or gray or CODES)
+                    if gray not in known:
+                        known[gray] = tables(gray)
+                    seq, qual = ((x or b"").translate(t) for t in known[gray])
+                seqs.append(seq.decode("latin-1"))
+                quals.append(qual.decode("latin-1"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seqs, pa.string()), pa.array(quals, pa.string())], ["read_id", "header", "seq", "qual"])
+
+    have = lambda c, kind: F.col(c) if c in encoded.columns else F.lit(None).cast(kind)
+    header = F.col("header")
+    if "structure" in encoded.columns:
+        rebuilt = F.concat(F.lit("@"), headers.rebuild(F.col("structure"), F.split(F.substring("header", 2, 1 << 30), ":")))
+        header = F.when((F.col("structure") != "") & (F.col("mode") == 2), rebuilt).otherwise(header)
+    return encoded.select("read_id", header.alias("header"), "codes", have("gray", "array<int>"), have("mode", "int")).mapInArrow(run, "read_id long, header string, seq string, qual string")
 
 
 def fastq_text(reads: DataFrame, second_header: bool = False) -> DataFrame:

@@ -134,3 +134,23 @@ def test_bootstrap_settles(spark):
     assert abs(sum(whole.values()) - 110) < 1e-6
     samples = quant.bootstrap(spark, counts, lengths, 5).groupBy("sample").sum("alpha").collect()
     assert len(samples) == 5 and all(abs(r[1] - 110) < 1e-6 for r in samples)
+
+
+def test_encoded_files_by_their_own_codes(spark, tmp_path):
+    """Custom codes and table, headers of one structure reduced to their parts, of several kept whole, a file per task."""
+    fastq.register(spark)
+    rows = [(i, f"@M01368:85:FC1:1:{1101 + i % 3}:{i}:{i * 7} 1:N:0:ACGT", "ACGTN"[i % 4:] + "A", "I" * (6 - i % 4)) for i in range(50)]
+    df = spark.createDataFrame(rows, "read_id long, header string, seq string, qual string")
+    lut = tuple((q, 1 + q // 2) for q in range(1, 94))
+    coding = codec.Coding(codes=(1, 10, 80, 150, 200), lut=lut)
+    for name, table in (("plain", df), ("mixed", df.union(spark.createDataFrame([(99, "@other", "AC", "II")], df.schema)))):
+        path = f"file://{tmp_path}/{name}"
+        assert fastq.write_encoded(table, path, 2, coding, "illumina", files=3) == table.count()
+        found = spark.read.format("encoded").load(path)
+        assert found.select("file").distinct().count() == 3 and (found.first().structure != "") == (name == "plain")
+        got = fastq.decoded(found, lut=lut).orderBy("read_id").collect()
+        want = table.orderBy("read_id").collect()
+        assert [(r.header, r.seq) for r in got] == [(r.header, r.seq) for r in want] and [r.read_id for r in got] == list(range(len(want)))
+        assert {c for r in got for s, c in zip(r.seq, r.qual) if s != "N"} == {chr(33 + 41)}
+    data = next(tmp_path.glob("plain/reads-000000000000.enc")).read_bytes()
+    assert b"#INSTRUMENT=M01368\n#SAMPLE-ID=\n#RUN-NUMBER=85\n" in data and b"#FLOW-CELL=FC1\n#GRAY_VALS=1,10,80,150,200\n" in data
