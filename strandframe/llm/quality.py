@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import resting
+from .common import resting, staged
 from .learn import Linear, platt, sigmoid
-from .toxicity import sample
 
-#: Labelled and unlabelled documents that the models are fitted on, at most; taken by a hash of doc_id.
-LABELLED, UNLABELLED = 8_000, 8_000
-#: Rounds of co-training, pseudo-labels a round and view, and the confidence that they need.
-ROUNDS, GIVEN, CONFIDENT = 4, 400, 0.95
+#: Labelled documents that the models are fitted on, at most; taken by a hash of doc_id. All others take part without label.
+LABELLED = 8_000
+#: Rounds of co-training, and the confidence that a pseudo-label needs.
+ROUNDS, CONFIDENT = 3, 0.95
+#: Weight of all pseudo-labels of a view together, as a share of that of the labels, at most.
+SHARE = 0.5
+#: Rows that sums of moments go to before the driver adds them up.
+SLOTS = 8
 #: Dimensions of the hashed shapes of words.
 HASHED = 256
 #: Documents with a combined score below this are rejected.
@@ -36,11 +41,15 @@ def _shape(word: str) -> str:
     return f"{word[:at][:2]}{kind}{word[at + len(core):][:3]}"
 
 
+_UPPER = re.compile(r"[^A-ZÄÖÜÉÈÊÇÑÍÓ]+")
+_SIGNS = ".,|#%&*$!"
+
+
 def content(text: str) -> np.ndarray:
-    """The text view: shares of word shapes (hashed), repeats of words, lengths and variety of words."""
+    """The text view: shares of word shapes (hashed), repeats, lengths and variety of words, shares of kinds of letters and signs."""
     words = text.split()
-    x = np.zeros(HASHED + 6)
-    n = len(words)
+    x = np.zeros(HASHED + 9 + len(_SIGNS))
+    n, size = len(words), max(1, len(text))
     if n:
         counts: dict[str, int] = {}
         for w in words:
@@ -48,23 +57,20 @@ def content(text: str) -> np.ndarray:
         for w, c in counts.items():
             x[crc32(_shape(w).encode()) % HASHED] += c
         x[:HASHED] = np.sqrt(x[:HASHED] / n)
-        x[HASHED:] = (len(counts) / n, max(counts.values()) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-                      sum(map(len, words)) / n / 10, min(n, 50) / 50, len(counts) / np.sqrt(n) / 10)
+        x[HASHED: HASHED + 6] = (len(counts) / n, max(counts.values()) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+                                 sum(map(len, words)) / n / 10, min(n, 50) / 50, len(counts) / np.sqrt(n) / 10)
+    kinds = [text.count(c) / size for c in _SIGNS]
+    x[HASHED + 6:] = len("".join(_UPPER.split(text))) / size, sum(map(str.isalpha, text)) / size, sum(kinds[2:]) > 0.02, *np.sqrt(kinds)
     return x
 
 
-def metadata(text: str, n_chars: int | None, lang: str | None) -> np.ndarray:
-    """The page view: size, language and layout; no words."""
-    lines = text.split("\n")
-    n = max(1, len(text))
-    kinds = {c: text.count(c) / n for c in ".,|#%&*$!\n "}
-    letters = sum(map(str.isalpha, text))
-    upper = len(text) - len(re.sub(r"[A-ZÄÖÜÉÈÊÇÑÍÓ]", "", text))
-    sizes = list(map(len, lines))
+def metadata(lines: list[int], n_chars: int | None, lang: str | None, source: str | None) -> np.ndarray:
+    """The page view, which sees no letter of the text: the page's size, language and source, and the sizes of its lines."""
+    size = n_chars if n_chars is not None and n_chars >= 0 else sum(lines)
     tongue = [float(lang == x) for x in ("en", "de", "fr", "es")]
-    return np.array([np.log1p(n_chars if n_chars is not None and n_chars >= 0 else len(text)), np.log1p(len(lines)), np.log1p(max(sizes)), np.log1p(np.mean(sizes)),
-                     upper / n, letters / n, *[np.sqrt(v) for v in kinds.values()],
-                     sum(kinds[c] for c in "|#%&*$!") > 0.02, *tongue], dtype=float)
+    of = np.zeros(16)
+    of[crc32((source or "").encode()) % 16] = 1
+    return np.array([np.log1p(size), np.log1p(len(lines)), np.log1p(max(lines)), np.log1p(np.mean(lines)), np.log1p(min(lines)), np.std(lines) / (1 + np.mean(lines)), lines.count(0) / len(lines), *tongue, *of])
 
 
 @dataclass
@@ -79,75 +85,151 @@ class Model:
         return sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(logits[0] + logits[1] - self.offset)
 
 
-def train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray]) -> Model:
-    """Co-training. A fifth of the labelled rows is kept from the rounds and calibrates the views."""
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products of (x, 1, y): what a least-squares fit needs of any number of rows."""
+    z = np.hstack([x, np.ones((len(x), 1)), y[:, None]])
+    return z.T @ z
+
+
+def fitted(sums: np.ndarray, penalty: float = 1.0) -> Linear:
+    """The linear model of least squares on standardised features, from ``moments``."""
+    n = max(sums[-2, -2], 1e-9)
+    m = Linear()
+    m.mean = sums[:-2, -2] / n
+    m.scale = np.sqrt(np.maximum(np.diag(sums)[:-2] / n - m.mean**2, 0)) + 1e-6
+    inner = (sums[:-2, :-2] - n * np.outer(m.mean, m.mean)) / np.outer(m.scale, m.scale)
+    share = sums[-2, -1] / n
+    w = np.linalg.solve(inner + penalty * np.eye(len(m.mean)), (sums[:-2, -1] - n * m.mean * share) / m.scale)
+    m.w = np.append(w, share - 0.5)
+    return m
+
+
+def train(labelled: list[np.ndarray], y: np.ndarray, given: Callable[[Model], list[np.ndarray]]) -> Model:
+    """Co-training: each round, each view labels what it is sure of among all documents, for the other.
+
+    given: sums of moments, per view, of the documents that the other view of a model is sure of. A fifth of the labelled
+    rows is kept from the fit and calibrates the views.
+    """
     aside = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     held = aside if aside.any() and y[aside].min() < y[aside].max() else ~aside
-    known = [(labelled[v][~aside], y[~aside], np.ones((~aside).sum())) for v in (0, 1)]
-    free = np.ones(len(unlabelled[0]), bool)
-    for _ in range(ROUNDS):
-        models = [Linear().fit(*k) for k in known]
-        for v in (0, 1):  # each view labels what it is sure of, for the other
-            at = np.nonzero(free)[0]
-            if not len(at):
-                break
-            p = sigmoid(models[v].logit(unlabelled[v][at]))
-            sure = [at[np.argsort(-q, kind="stable")[: max(1, int(GIVEN * share))]] for q, share in ((p, y.mean()), (1 - p, 1 - y.mean()))]
-            sure = [s[np.isin(s, at[q >= CONFIDENT])] for s, q in zip(sure, (p, 1 - p), strict=True)]
-            new, labels = np.concatenate(sure), np.concatenate([np.ones(len(sure[0])), np.zeros(len(sure[1]))])
-            x, z, w = known[1 - v]
-            known[1 - v] = (np.vstack([x, unlabelled[1 - v][new]]), np.concatenate([z, labels]), np.concatenate([w, np.full(len(new), 0.5)]))
-            free[new] = False
-    models = [Linear().fit(*k) for k in known]
+    known = [moments(x[~aside], y[~aside]) for x in labelled]
     share = float(np.clip(y[held].mean(), 0.01, 0.99))
-    return Model(models, [platt(m.logit(labelled[v][held]), y[held]) for v, m in enumerate(models)], float(np.log(share / (1 - share))))
+    extra = [np.zeros_like(k) for k in known]
+    for i in range(ROUNDS + 1):
+        views = [fitted(k + e * min(SHARE, SHARE * k[-2, -2] / max(e[-2, -2], 1e-9))) for k, e in zip(known, extra, strict=True)]
+        model = Model(views, [platt(m.logit(x[held]), y[held]) for m, x in zip(views, labelled, strict=True)], float(np.log(share / (1 - share))))
+        if i < ROUNDS:
+            extra = given(model)
+    return model
 
 
 def _stack(rows: list[np.ndarray]) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, 1))
 
 
-def _views(texts: list[str], sizes: list[int | None], tongues: list[str | None]) -> list[np.ndarray]:
-    return [_stack([content(t) for t in texts]), _stack([metadata(*x) for x in zip(texts, sizes, tongues, strict=True)])]
+def _read(column: pa.Array) -> np.ndarray:
+    return _stack([np.frombuffer(x, "<f4").astype(float) for x in column.to_pylist()])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = _views([t.as_py() or "" for t in batch.column(1)], batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()), batch.column(4)], ["doc_id", "a", "b", "y"])
+def _featuring(names: list[str], keeps: list[str]):
+    """The columns ``keeps`` of a batch, then the features of both views as bytes."""
+    at = {c: names.index(c) if c in names else None for c in ("text", "n_chars", "lang", "source")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for text, size, lang, source in zip(*[[None] * len(batch) if i is None else batch.column(i).to_pylist() for i in at.values()], strict=True):
+                a.append(content(text or "").astype("<f4").tobytes())
+                b.append(metadata(list(map(len, (text or "").split("\n"))), size, lang, source).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keeps], pa.array(a, pa.binary()), pa.array(b, pa.binary())], [*keeps, *VIEWS])
+
+    return run
+
+
+#: Columns of the features of both views in staged tables.
+VIEWS = ["_text_view", "_metadata_view"]
 
 
-def _collected(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    rows = df.select("doc_id", "text", "n_chars", "lang", "y").mapInArrow(resting(_extract), "doc_id long, a binary, b binary, y int").toPandas().sort_values(["doc_id", "a"], kind="stable")
-    return [_stack([np.frombuffer(x) for x in rows[c]]) for c in ("a", "b")], rows["y"].to_numpy(dtype=float)
+def featured(docs: DataFrame, *keeps: str) -> DataFrame:
+    """The columns ``keeps`` of ``docs`` and the features of both views, staged."""
+    cast = [F.col(c).cast(t).alias(c) if c in ("text", "lang", "source", "n_chars") else F.col(c) for c, t in ((c, "long" if c == "n_chars" else "string") for c in docs.columns)]
+    whole = docs.select(*cast)
+    fields = [docs.schema[c] if c not in ("text", "lang", "source", "n_chars") else StructField(c, LongType() if c == "n_chars" else StringType()) for c in keeps]
+    schema = StructType([*fields, *[StructField(c, BinaryType()) for c in VIEWS]])
+    return staged(whole.mapInArrow(resting(_featuring(whole.columns, list(keeps))), schema), "features")
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    has = lambda c, t: F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has("n_chars", "long").alias("n_chars"), has("lang", "string").alias("lang"))
+def _giving(model: Model, used: np.ndarray):
+    """Rows (slot, view, moments as bytes) of a task: of the documents not in ``used`` that the other view is sure of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[np.ndarray | None] = [None, None]
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            free = ~np.isin(np.array([-1 if i is None else i for i in ids], np.int64), used) if len(ids) else np.zeros(0, bool)
+            if not free.any():
+                continue
+            views = [_read(batch.column(i).filter(pa.array(free))) for i in (1, 2)]
+            scores = model.score(views)[:2]
+            for v in (0, 1):
+                p = scores[1 - v]
+                sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+                m = moments(views[v][sure], (p[sure] >= 0.5).astype(float))
+                sums[v] = m if sums[v] is None else sums[v] + m
+        slot = TaskContext.get().partitionId() % SLOTS
+        rows = [(slot, v, s.tobytes()) for v, s in enumerate(sums) if s is not None]
+        yield pa.RecordBatch.from_pydict({"slot": [r[0] for r in rows], "view": [r[1] for r in rows], "sums": [r[2] for r in rows]}, _SUMS)
+
+    return run
+
+
+_SUMS = pa.schema([("slot", pa.int32()), ("view", pa.int32()), ("sums", pa.binary())])
+
+
+def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for v, s in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            s = np.frombuffer(s.as_py())
+            sums[v] = sums[v] + s if v in sums else s
+    yield pa.RecordBatch.from_pydict({"slot": [0] * len(sums), "view": list(sums), "sums": [s.tobytes() for s in sums.values()]}, _SUMS)
+
 
+def fit(table: DataFrame, labels: DataFrame) -> Model | None:
+    """The model, from a table (doc_id, features of both views); None if the labels are not of both kinds.
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model; None if the labels are not of both kinds."""
-    whole = _whole(docs)
-    labelled, y = _collected(sample(whole, labels, "quality", LABELLED, F.lit(True)))
+    Labels come from LABELLED documents at most; pseudo-labels from all others, as sums of moments that executors make.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("_labelled"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_labelled").isNotNull())
+    ids = ids.groupBy("_labelled").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_labelled"), "_labelled").limit(LABELLED)
+    views = table.select(F.col("doc_id").cast("long").alias("doc_id"), *VIEWS)
+    rows = views.join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled")).select("doc_id", "y", *VIEWS).toPandas().sort_values(["doc_id", VIEWS[0]], kind="stable")  # at most LABELLED documents
+    y = rows["y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return None
-    unknown = whole.select("doc_id").where("doc_id is not null").join(labels.select(F.col("doc_id").cast("long")), "doc_id", "left_anti").distinct()
-    unknown = unknown.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("y", F.lit(-1))
-    unlabelled, _ = _collected(whole.join(F.broadcast(unknown), "doc_id"))  # at most UNLABELLED rows
-    return train(labelled, y, unlabelled if len(unlabelled[0]) else [x[:0] for x in labelled])
+    labelled = [_stack([np.frombuffer(x, "<f4").astype(float) for x in rows[c]]) for c in VIEWS]
+    used = np.unique(rows["doc_id"].to_numpy(dtype=np.int64))
+
+    def given(model: Model) -> list[np.ndarray]:
+        parts = views.mapInArrow(resting(_giving(model, used)), "slot int, view int, sums binary")
+        added = parts.repartition(SLOTS, "slot").mapInArrow(resting(_adding), "slot int, view int, sums binary").collect()  # SLOTS rows a view
+        sums = [np.zeros((x.shape[1] + 2,) * 2) for x in labelled]
+        for r in sorted(added, key=lambda r: (r["view"], bytes(r["sums"]))):
+            sums[r["view"]] += np.frombuffer(r["sums"]).reshape(sums[r["view"]].shape)
+        return sums
+
+    return train(labelled, y, given)
+
+
+def _scored(model: Model | None, batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Scores of both views and of both together, from the last two columns of a batch."""
+    n = len(batch)
+    return list(model.score([_read(batch.column(batch.num_columns - 2)), _read(batch.column(batch.num_columns - 1))])) if model and n else [np.full(n, 1.0)] * 3
 
 
 def _scoring(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            if model and n:
-                scores = model.score(_views([t.as_py() or "" for t in batch.column(1)], batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            else:
-                scores = [np.full(n, 1.0)] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s, pa.float64()) for s in scores], *batch.columns[4:]], ["doc_id", "text_score", "metadata_score", "quality_score", *batch.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s, pa.float64()) for s in _scored(model, batch)]], ["doc_id", "text_score", "metadata_score", "quality_score"])
 
     return run
 
@@ -155,26 +237,25 @@ def _scoring(model: Model | None):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, metadata_score, quality_score (1: good) and keep for each row of ``docs``.
 
-    Null texts are empty and judged as such; null or missing n_chars and lang count as the text's length and as no
-    language; equal rows are each returned. Without labels of both kinds all are kept. No rows give no rows.
+    Null texts are empty and judged as such; null or missing n_chars count as the text's length, null or missing lang and
+    source as none; equal rows are each returned. Without labels of both kinds all are kept. No rows give no rows.
     """
-    scored = _whole(docs).mapInArrow(resting(_scoring(fit(docs, labels))), "doc_id long, text_score double, metadata_score double, quality_score double")
+    table = featured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    scored = table.mapInArrow(resting(_scoring(fit(table, labels))), "doc_id long, text_score double, metadata_score double, quality_score double")
     return scored.withColumn("keep", F.col("quality_score") >= REJECT)
 
 
-def _filtering(model: Model | None, names: list[str]):
-    at = [names.index(c) if c in names else None for c in ("text", "n_chars", "lang")]
-
+def _filtering(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model and len(batch):
-                text, size, lang = ([None] * len(batch) if i is None else batch.column(i).to_pylist() for i in at)
-                batch = batch.filter(pa.array(model.score(_views([t or "" for t in text], size, lang))[2] >= REJECT))
-            yield batch
+            kept = batch.filter(pa.array(_scored(model, batch)[2] >= REJECT)) if len(batch) else batch
+            yield pa.RecordBatch.from_arrays(kept.columns[:-2], kept.schema.names[:-2])
 
     return run
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, in one pass over whole rows."""
-    return docs.mapInArrow(resting(_filtering(fit(docs, labels), docs.columns)), docs.schema)
+    """The rows of ``docs`` that are not rejected; whole rows are staged with their features, which are made once."""
+    table = featured(docs, *docs.columns)
+    fields = table.schema.fields[:-2]
+    return table.mapInArrow(resting(_filtering(fit(table, labels))), StructType(fields))

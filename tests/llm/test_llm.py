@@ -465,7 +465,36 @@ def test_quality(spark, docs, none):
 @pytest.mark.parametrize("rows", [10, 2500])
 def test_quality_counts_all_letters(rows):
     text = ("a" * 14 + "0" * 6) * rows
-    assert quality.metadata(text, None, None)[5] == pytest.approx(0.7)
+    assert quality.content(text)[quality.HASHED + 7] == pytest.approx(0.7)
+
+
+def test_quality_learns_from_all_documents(spark, monkeypatch):
+    """The moments that executors gather are those of every document without a label that a view is sure of."""
+    made, labels = labelled(spark)
+    real, seen = quality.train, {}
+
+    def train(views, y, given):
+        model = real(views, y, given)
+        seen.update(model=model, sums=given(model))
+        return model
+
+    monkeypatch.setattr(quality, "train", train)
+    assert quality.score(made, labels).count() == 600
+    known = {r.doc_id for r in labels.collect()}
+    rows = [r for r in made.collect() if r.doc_id not in known]
+    views = [np.stack(x).astype(np.float32).astype(float) for x in zip(*[(quality.content(r.text), quality.metadata(list(map(len, r.text.split("\n"))), r.n_chars, r.lang, r.source)) for r in rows])]
+    scores = seen["model"].score(views)
+    for v in (0, 1):
+        p = scores[1 - v]
+        sure = (p >= 0.95) | (p <= 0.05)
+        assert np.allclose(seen["sums"][v], quality.moments(views[v][sure], (p[sure] >= 0.5).astype(float)))
+    assert seen["sums"][1][-2, -2] > 100
+
+
+def test_quality_of_documents_not_learnt_from(spark):
+    made, labels = labelled(spark)
+    scored = quality.score(made, labels.where("doc_id % 2 = 0")).where("doc_id % 2 = 1").collect()
+    assert np.mean([r.keep == (r.doc_id % 7 != 0) for r in scored]) > 0.98
 
 
 def test_pipeline(spark):
