@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: Learnt models, fuzzy links and tokenizers are not expressible in SQL; tests/llm checks run() against brute force.
+#: Learnt models, fuzzy links and tokenizers are not expressible in SQL; tests/llm checks the operators against brute force, and run()'s pieces.
 ORACLE_SQL: str | None = None
 
 
