@@ -17,7 +17,7 @@ import numpy as np
 from .common import CACHES
 
 #: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
-CACHE, LINE, TOGETHER = 400_000, 50, 1_000_000
+CACHE, LINE, TOGETHER = 700_000, 50, 2_000_000
 #: Before the string of a special token among cuts: no text has it.
 SPECIAL = "\ud800"
 
@@ -30,9 +30,9 @@ def public_path(name: str) -> str:
 
 class Encoder:
     """cut: a text's cuts. plain: whether a cut may be encoded between separators. one: whether a cut is surely one word of
-    the tokenizer; such cuts are encoded by the same model without the search for words, one to a line."""
+    the tokenizer; such cuts are encoded by the same model without the search for words, split at ``split``."""
 
-    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], one: Callable[[str], bool]):
+    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], one: Callable[[str], bool], split: tuple[str, str]):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,7 +51,7 @@ class Encoder:
         self.simple.encode_special_tokens = True
         if self.simple.normalizer is not None:
             self.simple.normalizer = None
-        self.simple.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(*split), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def forget(self) -> None:
         self.new: dict[str, bytes] = dict(self.fixed)
@@ -73,21 +73,11 @@ class Encoder:
         if known := missing & self.old.keys():
             self.new |= {c: self.old[c] for c in known}
             missing = missing - known
-        one, other, hard, parted = [], [], [], []
+        one, other, hard = [], [], []
         for c in missing:
-            if self.one(c):
-                one.append(c)
-            elif m := _PARTED.fullmatch(c):
-                parted.append((c, *m.groups()))
-            else:
-                (other if self.plain(c) else hard).append(c)
-        parts = {x for _, word, marks in parted for x in (word, marks)} - self.new.keys() - missing
-        for x in parts:
-            (one if self.one(x) else other if self.plain(x) else hard).append(x)
-        for tokenizer, cuts, mark in ((self.simple, one, f"\n{self.separator.strip(' ')}\n"), (self.tokenizer, other, self.separator)):
-            lines = [mark.join(cuts[at: at + LINE]) for at in range(0, len(cuts), LINE)]
-            if tokenizer is self.simple:
-                lines = list(map(_byte_letters, lines))
+            (one if self.one(c) else other if self.plain(c) else hard).append(c)
+        for tokenizer, cuts in ((self.simple, one), (self.tokenizer, other)):
+            lines = [self.separator.join(cuts[at: at + LINE]) for at in range(0, len(cuts), LINE)]
             for i, line in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
                 part = cuts[i * LINE: (i + 1) * LINE]
                 ids = np.array(line.ids, dtype="<u4")
@@ -100,8 +90,6 @@ class Encoder:
                     at = end + 4
         for c in hard:
             self.new[c] = np.array(self.ids(c), dtype="<u4").tobytes()
-        for c, word, marks in parted:
-            self.new[c] = self.new[word] + self.new[marks]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
@@ -127,29 +115,13 @@ class Encoder:
             yield b"".join(ids)
 
 
-_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-#: The letters that byte-level vocabularies have for bytes: printable ones of Latin-1 stand for themselves, the others, in
-#: order, for the letters from 256 on. Line feeds stay.
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
-_FEED = chr(_BYTE_LETTERS.pop(10))
-
-
-def _byte_letters(text: str) -> str:
-    """``text``, of letters, blanks and line feeds, in the letters of byte-level vocabularies; of three line feeds, the second."""
-    if text.isascii():
-        return text.replace(" ", chr(_BYTE_LETTERS[32])).replace("\n\n\n", f"\n{_FEED}\n")
-    return text.encode().decode("latin-1").translate(_BYTE_LETTERS).replace("\n\n\n", f"\n{_FEED}\n")
-
-
 #: A comma or full stop after a letter and before a blank or the end is a word of its own to both tokenizers. A mark goes
 #: before every one that a blank follows, then those go that no letter is before.
 _ENDS = [(c + e, "\x00" + c + e) for c in ",." for e in " \n"]
 _NOT_AFTER_LETTER = re.compile(r"\x00(?:(?<=[\W\d_]\x00)|(?<=^\x00))")
 _MARKED = re.compile(r" ?\S+")
 _CUT = re.compile(r"(?<=\S)(?= )")
-_BLANKS = re.compile(r"\s\s")
-#: A word and signs after it, which are words of their own to both tokenizers.
-_PARTED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+_BLANKS = re.compile(r"\s ")
 
 
 def _marked(text: str) -> str:
@@ -179,8 +151,7 @@ def _byte_cuts(text: str) -> list[str]:
     marked = _marked(text)
     if text.startswith(" ") or _BLANKS.search(text):
         return [y for x in _CUT.split(marked) for y in x.split("\x00")]
-    # a line feed with no white space beside it is a word of its own
-    return marked.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    return marked.replace(" ", "\x00 ").split("\x00")
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -189,14 +160,14 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def word_encoder(path: str) -> Encoder:
     """For a tokenizer that lower-cases, drops white space and whose words never cross it."""
     if ("word", path) not in _encoders:
-        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, _one_word)
+        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, _one_word, (" ", "removed"))
     return _encoders["word", path]
 
 
 def byte_encoder(path: str) -> Encoder:
     """For a byte-level tokenizer whose words begin with at most one blank: cuts are before a blank that follows no blank."""
     if ("byte", path) not in _encoders:
-        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, lambda c: c[c[:1] == " ":].isalpha())
+        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, lambda c: c[c[:1] == " ":].isalpha(), ("\n", "isolated"))
     return _encoders["byte", path]
 
 
