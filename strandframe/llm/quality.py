@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import resting, staged
 from .learn import Linear, platt, sigmoid
@@ -150,13 +150,17 @@ def _featuring(names: list[str], keeps: list[str]):
 VIEWS = ["_text_view", "_metadata_view"]
 
 
-def featured(docs: DataFrame, *keeps: str) -> DataFrame:
-    """The columns ``keeps`` of ``docs`` and the features of both views, staged."""
-    cast = [F.col(c).cast(t).alias(c) if c in ("text", "lang", "source", "n_chars") else F.col(c) for c, t in ((c, "long" if c == "n_chars" else "string") for c in docs.columns)]
-    whole = docs.select(*cast)
-    fields = [docs.schema[c] if c not in ("text", "lang", "source", "n_chars") else StructField(c, LongType() if c == "n_chars" else StringType()) for c in keeps]
-    schema = StructType([*fields, *[StructField(c, BinaryType()) for c in VIEWS]])
-    return staged(whole.mapInArrow(resting(_featuring(whole.columns, list(keeps))), schema), "features")
+def _whole(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that views are made of in the types that they have in ``documents``."""
+    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    return docs.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in docs.columns])
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and the features of both views, staged."""
+    whole = _whole(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = StructType([StructField("doc_id", LongType()), *[StructField(c, BinaryType()) for c in VIEWS]])
+    return staged(whole.mapInArrow(resting(_featuring(whole.columns, ["doc_id"])), schema), "features")
 
 
 def _giving(model: Model, used: np.ndarray):
@@ -240,22 +244,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts are empty and judged as such; null or missing n_chars count as the text's length, null or missing lang and
     source as none; equal rows are each returned. Without labels of both kinds all are kept. No rows give no rows.
     """
-    table = featured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    table = featured(docs)
     scored = table.mapInArrow(resting(_scoring(fit(table, labels))), "doc_id long, text_score double, metadata_score double, quality_score double")
     return scored.withColumn("keep", F.col("quality_score") >= REJECT)
 
 
-def _filtering(model: Model | None):
+def _filtering(model: Model | None, names: list[str]):
+    made = _featuring(names, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.filter(pa.array(_scored(model, batch)[2] >= REJECT)) if len(batch) else batch
-            yield pa.RecordBatch.from_arrays(kept.columns[:-2], kept.schema.names[:-2])
+        for batch in made(batches):
+            good = batch.filter(pa.array(_scored(model, batch)[2] >= REJECT)) if len(batch) else batch
+            yield pa.RecordBatch.from_arrays(good.columns[:-2], good.schema.names[:-2])
 
     return run
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected; whole rows are staged with their features, which are made once."""
-    table = featured(docs, *docs.columns)
-    fields = table.schema.fields[:-2]
-    return table.mapInArrow(resting(_filtering(fit(table, labels))), StructType(fields))
+    """The rows of ``docs`` that are not rejected. Features are made twice, for the fit and here: staging whole rows with
+    them would keep a copy of the corpus in the shared folder."""
+    table, whole = featured(docs), _whole(docs)
+    return whole.mapInArrow(resting(_filtering(fit(table, labels), whole.columns)), whole.schema)

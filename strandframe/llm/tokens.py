@@ -16,8 +16,9 @@ import numpy as np
 
 from .common import CACHES
 
-#: Cuts in each of the two generations of a worker's cache, cuts in a line that is encoded, characters taken together.
-CACHE, LINE, TOGETHER = 700_000, 50, 2_000_000
+#: Cuts in each of the two generations of a worker's cache, by kind of tokenizer (that of words runs after other stages in
+#: one worker, so it has less room), cuts in a line that is encoded, characters taken together.
+CACHE, LINE, TOGETHER = {"byte": 700_000, "word": 400_000}, 50, 2_000_000
 #: Before the string of a special token among cuts: no text has it.
 SPECIAL = "\ud800"
 
@@ -32,7 +33,7 @@ class Encoder:
     """cut: a text's cuts. plain: whether a cut may be encoded between separators. one: whether a cut is surely one word of
     the tokenizer; such cuts are encoded by the same model without the search for words, split at ``split``."""
 
-    def __init__(self, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], one: Callable[[str], bool], split: tuple[str, str]):
+    def __init__(self, room: int, path: str, separator: str, cut: Callable[[str], list[str]], plain: Callable[[str], bool], one: Callable[[str], bool], split: tuple[str, str]):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,7 +44,7 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.fixed = {SPECIAL + x: i.to_bytes(4, "little") for x, i in special.items()}
         self.tokenizer.encode_special_tokens = True
-        self.separator, self.cut, self.plain = separator, cut, plain
+        self.room, self.separator, self.cut, self.plain = room, separator, cut, plain
         (self.between,) = self.ids(separator)
         self.forget()
         self.one = one
@@ -67,7 +68,7 @@ class Encoder:
 
     def learn(self, missing: set[str], all_cuts: Callable[[], set[str]]) -> None:
         """Have ``missing`` in the cache, and forget what was not used for a generation."""
-        if len(self.new) + len(missing) > CACHE:
+        if len(self.new) + len(missing) > self.room:
             self.old, self.new = self.new, dict(self.fixed)
             missing = all_cuts() - self.fixed.keys()
         if known := missing & self.old.keys():
@@ -160,14 +161,14 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def word_encoder(path: str) -> Encoder:
     """For a tokenizer that lower-cases, drops white space and whose words never cross it."""
     if ("word", path) not in _encoders:
-        _encoders["word", path] = Encoder(path, " 0 ", _word_cuts, lambda c: "0" not in c, _one_word, (" ", "removed"))
+        _encoders["word", path] = Encoder(CACHE["word"], path, " 0 ", _word_cuts, lambda c: "0" not in c, _one_word, (" ", "removed"))
     return _encoders["word", path]
 
 
 def byte_encoder(path: str) -> Encoder:
     """For a byte-level tokenizer whose words begin with at most one blank: cuts are before a blank that follows no blank."""
     if ("byte", path) not in _encoders:
-        _encoders["byte", path] = Encoder(path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, lambda c: c[c[:1] == " ":].isalpha(), ("\n", "isolated"))
+        _encoders["byte", path] = Encoder(CACHE["byte"], path, "\n", _byte_cuts, lambda c: _MARKED.fullmatch(c) is not None, lambda c: c[c[:1] == " ":].isalpha(), ("\n", "isolated"))
     return _encoders["byte", path]
 
 
