@@ -8,12 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def intersected(sets: Column) -> Column:
-    """Sorted intersection of an array of arrays; empty ones are skipped."""
-    some = F.filter(sets, lambda s: F.size(s) > 0)
-    return F.when(F.size(some) > 0, F.array_sort(F.aggregate(F.slice(some, F.lit(2), F.greatest(F.size(some) - 1, F.lit(0))), some[0], lambda a, s: F.array_intersect(a, s)))).otherwise(F.array().cast("array<int>"))
-
-
 def kmer_index(transcripts: DataFrame, k: int) -> DataFrame:
     """(kmer, txs): sorted transcripts that have the k-mer."""
     from .kmers import kmers_of
@@ -22,12 +16,37 @@ def kmer_index(transcripts: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("kmer").agg(F.array_sort(F.collect_set(F.col("tx_id").cast("int"))).alias("txs"))
 
 
-def pseudoalign(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(read_id, ec): transcripts that all indexed k-mers of the read are in."""
-    from .kmers import kmers_of
+def _staged(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-    rows = reads.select("read_id", F.explode(kmers_of(F.col("seq"), k)).alias("kmer")).distinct().join(index, "kmer")
-    return rows.groupBy("read_id").agg(intersected(F.collect_set("txs")).alias("ec"))
+
+def pseudoalign(reads: DataFrame, transcripts: DataFrame, k: int, folder: str, most_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(read_id, ec_id) of reads with a k-mer of any transcript, and (ec_id, ec): the sorted transcripts that all such k-mers of the read are in.
+
+    Copies are worked on once: transcripts of equal sequences as the least of them, reads as one of them. The sets are made
+    of these, and each distinct set is written out to all its transcripts once, not for every k-mer and read. ``folder`` is
+    a new one that all executors share. An index of up to ``most_broadcast`` rows is broadcast.
+    """
+    from .kmers import copies, kmers_of
+
+    of = lambda rows, key: rows.select(key, F.explode(F.array_distinct(F.flatten(F.transform("seqs", lambda s: kmers_of(s, k))))).alias("kmer"))
+    known = _staged(copies(transcripts.select(F.col("tx_id").cast("int"), "seq"), "tx_id").groupBy("seqs").agg(F.min("tx_id").alias("tx"), F.collect_list("tx_id").alias("txs")), f"{folder}/transcripts")
+    each = _staged(copies(reads, "read_id"), f"{folder}/reads")
+    alone = each.groupBy("seqs").agg(F.min("read_id").alias("read"))
+    index = of(known, "tx")
+    least = index.groupBy("kmer").agg(F.min("tx").alias("least"))
+    index = _staged(index.join(least, "kmer").select("kmer", "tx", (F.col("tx") == F.col("least")).cast("long").alias("first")), f"{folder}/index")
+    hits = of(alone, "read").join(F.broadcast(index) if index.count() <= most_broadcast else index, "kmer")
+    # dealt by read, so that the steps below need no more exchange; n: k-mers of the read that the index has
+    hits = hits.select("read", "tx", "first").repartition("read").groupBy("read", "tx").agg(F.count("*").alias("has"), F.sum("first").alias("first"))
+    hits = hits.withColumn("n", F.sum("first").over(Window.partitionBy("read")))
+    sets = hits.groupBy("read").agg(F.array_sort(F.collect_list(F.when(F.col("has") == F.col("n"), F.col("tx")))).alias("some"))
+    sets = sets.withColumn("ec_id", F.unhex(F.sha2(F.array_join("some", ","), 256)))
+    sets = _staged(sets.join(alone, "read").select("seqs", "some", "ec_id"), f"{folder}/sets")
+    whole = sets.select("ec_id", "some").distinct().select("ec_id", F.explode_outer("some").alias("tx")).join(known.select("tx", "txs"), "tx", "left")
+    whole = whole.groupBy("ec_id").agg(F.array_sort(F.flatten(F.collect_list("txs"))).alias("ec"))
+    return _staged(each.join(sets.select("seqs", "ec_id"), "seqs").select("read_id", "ec_id"), f"{folder}/of"), _staged(whole, f"{folder}/whole")
 
 
 def ec_counts(ecs: DataFrame) -> DataFrame:
