@@ -49,6 +49,11 @@ def pseudoalign(reads: DataFrame, transcripts: DataFrame, k: int, folder: str, m
     return _staged(each.join(sets.select("seqs", "ec_id"), "seqs").select("read_id", "ec_id"), f"{folder}/of"), _staged(whole, f"{folder}/whole")
 
 
+def set_counts(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ec, n) from what ``pseudoalign`` returns: reads by non-empty set, counted by its id."""
+    return sets.where(F.size("ec") > 0).join(of.groupBy("ec_id").agg(F.count("*").alias("n")), "ec_id").select("ec", "n")
+
+
 def ec_counts(ecs: DataFrame) -> DataFrame:
     return ecs.where(F.size("ec") > 0).groupBy("ec").agg(F.count("*").alias("n"))
 

@@ -37,6 +37,8 @@ def test_classes_by_brute_force(spark, tmp_path, most):
     got = of.join(sets, "ec_id").collect()
     assert len(got) == len(want) and {r.read_id: list(r.ec) for r in got} == want
     assert sets.count() == len({tuple(x) for x in want.values()})
+    counted = {tuple(r.ec): r.n for r in quant.set_counts(of, sets).collect()}
+    assert counted == {e: [tuple(x) for x in want.values()].count(e) for e in map(tuple, want.values()) if e}
 
 
 def test_copies_add_no_work(spark, tmp_path):
