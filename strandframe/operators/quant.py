@@ -21,8 +21,8 @@ def _staged(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def pseudoalign(reads: DataFrame, transcripts: DataFrame, k: int, folder: str, most_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(read_id, ec_id) of reads with a k-mer of any transcript, and (ec_id, ec): the sorted transcripts that all such k-mers of the read are in.
+def pseudoalign(reads: DataFrame, transcripts: DataFrame, k: int, folder: str, union: bool = False, most_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(read_id, ec_id) of reads with a k-mer of any transcript, and (ec_id, ec): the sorted transcripts that all such k-mers of the read are in, or (union) any.
 
     Copies are worked on once: transcripts of equal sequences as the least of them, reads as one of them. The sets are made
     of these, and each distinct set is written out to all its transcripts once, not for every k-mer and read. ``folder`` is
@@ -41,7 +41,7 @@ def pseudoalign(reads: DataFrame, transcripts: DataFrame, k: int, folder: str, m
     # dealt by read, so that the steps below need no more exchange; n: k-mers of the read that the index has
     hits = hits.select("read", "tx", "first").repartition("read").groupBy("read", "tx").agg(F.count("*").alias("has"), F.sum("first").alias("first"))
     hits = hits.withColumn("n", F.sum("first").over(Window.partitionBy("read")))
-    sets = hits.groupBy("read").agg(F.array_sort(F.collect_list(F.when(F.col("has") == F.col("n"), F.col("tx")))).alias("some"))
+    sets = hits.groupBy("read").agg(F.array_sort(F.collect_list(F.when(F.lit(union) | (F.col("has") == F.col("n")), F.col("tx")))).alias("some"))
     sets = sets.withColumn("ec_id", F.unhex(F.sha2(F.array_join("some", ","), 256)))
     sets = _staged(sets.join(alone, "read").select("seqs", "some", "ec_id"), f"{folder}/sets")
     whole = sets.select("ec_id", "some").distinct().select("ec_id", F.explode_outer("some").alias("tx")).join(known.select("tx", "txs"), "tx", "left")
@@ -133,14 +133,6 @@ def gene_sums(abundance: DataFrame, genes: DataFrame) -> DataFrame:
     return abundance.join(genes, "tx_id").groupBy("gene").agg(F.round(F.sum("est_counts"), 6).alias("est_counts"), F.round(F.sum("tpm"), 6).alias("tpm"))
 
 
-def pseudoalign_union(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(read_id, ec): transcripts that any indexed k-mer of the read is in."""
-    from .kmers import kmers_of
-
-    rows = reads.select("read_id", F.explode(kmers_of(F.col("seq"), k)).alias("kmer")).distinct().join(index, "kmer")
-    return rows.select("read_id", F.explode("txs").alias("tx")).distinct().groupBy("read_id").agg(F.array_sort(F.collect_list("tx")).alias("ec"))
-
-
 def fragment_lengths(lengths: DataFrame, most: int = 1000) -> DataFrame:
     """(length, n, mean): counts of fragments by length under ``most``, and the mean of all up to that length."""
     h = lengths.where((F.col("length") >= 0) & (F.col("length") < most)).groupBy("length").agg(F.count("*").alias("n"))

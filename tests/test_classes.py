@@ -19,21 +19,22 @@ def _made():
     return reads, transcripts
 
 
-def _brute(reads, transcripts):
+def _brute(reads, transcripts, union):
     kmers = lambda rows, key: {s[i: i + K] for x, s in rows if x == key and s for i in range(len(s) - K + 1)}
     index = {t: kmers(transcripts, t) for t, _ in transcripts}
     known, out = set().union(*index.values()), {}
     for read in {x for x, _ in reads}:
         if has := kmers(reads, read) & known:
-            out[read] = sorted(t for t, x in index.items() if has <= x)
+            out[read] = sorted(t for t, x in index.items() if (has & x if union else has <= x))
     return out
 
 
+@pytest.mark.parametrize("union", [False, True])
 @pytest.mark.parametrize("most", [0, 200_000])
-def test_classes_by_brute_force(spark, tmp_path, most):
+def test_classes_by_brute_force(spark, tmp_path, union, most):
     reads, transcripts = _made()
-    of, sets = quant.pseudoalign(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(transcripts, "tx_id long, seq string"), K, str(tmp_path / "x"), most)
-    want = _brute(reads, transcripts)
+    of, sets = quant.pseudoalign(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(transcripts, "tx_id long, seq string"), K, str(tmp_path / "x"), union, most)
+    want = _brute(reads, transcripts, union)
     got = of.join(sets, "ec_id").collect()
     assert len(got) == len(want) and {r.read_id: list(r.ec) for r in got} == want
     assert sets.count() == len({tuple(x) for x in want.values()})
